@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, mixing, packing, repeats, urls, warc
+from . import audio, mixing, neardup, packing, repeats, urls, warc
 from .common import Scratch
 
 URL_RULES = [
@@ -31,6 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(_table(spark, sf_dir, "documents"), with_media=False)
 
@@ -110,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_minhash_neardup": op3_minhash_neardup,
         "op5_audio_features": op5_audio_features,
         "op6_warc_archive": op6_warc_archive,
         "op9_source_mix": op9_source_mix,
