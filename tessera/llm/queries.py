@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, mixing, neardup, packing, repeats, urls, warc
+from . import ann, audio, langid, mixing, neardup, packing, repeats, urls, warc
 from .common import Scratch
 
 URL_RULES = [
@@ -35,6 +35,13 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~out))
+    return langid.identify(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(_table(spark, sf_dir, "documents"), with_media=False)
 
@@ -47,6 +54,10 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scratch.keep(back.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"))
 
 
+def op8_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -115,8 +126,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_minhash_neardup": op3_minhash_neardup,
+        "op4_language_id": op4_language_id,
         "op5_audio_features": op5_audio_features,
         "op6_warc_archive": op6_warc_archive,
+        "op8_collision_ann": op8_collision_ann,
         "op9_source_mix": op9_source_mix,
         "op10_url_templates": op10_url_templates,
     }
