@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, langid, mixing, neardup, packing, repeats, urls, warc
+from . import ann, audio, langid, mixing, neardup, packing, quality, repeats, urls, warc
 from .common import Scratch
 
 URL_RULES = [
@@ -54,6 +54,17 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scratch.keep(back.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"))
 
 
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good are documents of label quality 1; one in five labelled documents (by hash of its id) is not learnt from."""
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    out = F.pmod(F.xxhash64(F.lit("held out"), F.col("doc_id")), F.lit(5)) == 0
+    taught = docs.where(~out).join(labels.withColumnRenamed("doc_id", "_label_id"), F.col("doc_id") == F.col("_label_id"), "left")
+    model = quality.fit(taught, F.col("_quality"))
+    scored = quality.score(docs.withColumn("held_out", out), model)
+    return scored.select("doc_id", "held_out", "text_score", "meta_score", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+
+
 def op8_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -129,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_audio_features": op5_audio_features,
         "op6_warc_archive": op6_warc_archive,
+        "op7_cotrained_quality": op7_cotrained_quality,
         "op8_collision_ann": op8_collision_ann,
         "op9_source_mix": op9_source_mix,
         "op10_url_templates": op10_url_templates,
