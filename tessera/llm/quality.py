@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ensure_columns, slices, utf8
@@ -197,13 +197,18 @@ def _features(batch: pa.RecordBatch, i: int, j: int, data: np.ndarray, offsets:
     return text, meta_features([batch.column(1 + c).slice(i, j - i).to_pylist() for c in range(meta)])
 
 
-def fit(docs: DataFrame, label: Column, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> Model:
-    """Fit on ``docs``, whose ``label`` is 1 for good, 0 for bad and null for unlabelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> Model:
+    """Fit on ``docs``; ``labels`` (same id column) says of some whether they are good (1) or bad (0)."""
     ensure_columns(docs, id_col, text_col, *meta_cols)
-    known = docs.agg(F.count(label).alias("n"), F.count(F.when(label.isNull(), 1)).alias("m")).first()
-    limit = lambda n, most: F.lit(int(min(1.0, most / max(1, n)) * (1 << 30)))
-    chosen = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < F.when(label.isNotNull(), limit(known["n"], labelled_rows)).otherwise(limit(known["m"], pool_rows))
-    sample = docs.where(chosen).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c) for c in meta_cols], F.coalesce(label.cast("int"), F.lit(-1)).alias("_label"))
+    ensure_columns(labels, id_col, label_col)
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.min(label_col).cast("int").alias("_label"))
+    below = lambda id_, n, most: F.pmod(F.xxhash64(id_), F.lit(1 << 30)) < F.lit(int(min(1.0, most / max(1, n)) * (1 << 30)))
+    wanted = [F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c) for c in meta_cols], "_label"]
+    # About labelled_rows ids and numbers: small enough to send everywhere, so texts need no shuffle.
+    taught = F.broadcast(known.where(below(F.col("_label_id"), known.count(), labelled_rows)))
+    labelled = docs.join(taught, F.col(id_col) == F.col("_label_id")).select(*wanted)
+    pool = docs.where(below(F.col(id_col), docs.count(), pool_rows)).join(known, F.col(id_col) == F.col("_label_id"), "left_anti").withColumn("_label", F.lit(-1)).select(*wanted)
+    sample = labelled.unionByName(pool)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

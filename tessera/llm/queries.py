@@ -57,11 +57,10 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good are documents of label quality 1; one in five labelled documents (by hash of its id) is not learnt from."""
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    out = F.pmod(F.xxhash64(F.lit("held out"), F.col("doc_id")), F.lit(5)) == 0
-    taught = docs.where(~out).join(labels.withColumnRenamed("doc_id", "_label_id"), F.col("doc_id") == F.col("_label_id"), "left")
-    model = quality.fit(taught, F.col("_quality"))
-    scored = quality.score(docs.withColumn("held_out", out), model)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    held_out = lambda: F.pmod(F.xxhash64(F.lit("held out"), F.col("doc_id")), F.lit(5)) == 0
+    model = quality.fit(docs.where(~held_out()), labels.where(~held_out()))
+    scored = quality.score(docs.withColumn("held_out", held_out()), model)
     return scored.select("doc_id", "held_out", "text_score", "meta_score", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
 
 
