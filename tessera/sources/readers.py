@@ -82,12 +82,17 @@ def _delimited(spark: SparkSession, path: str, kind: FileType, options: ReadOpti
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     try:
         if options.multi_line is None:
-            figures = lines.agg(F.count(F.when(F.trim("value") != "", 1)).alias("n"), F.sum(quotes).alias("quotes"), F.max(quotes % 2).alias("odd")).first()
+            ends = spark.read.option("lineSep", "\n").text(path) if native else lines
+            returned = F.count(F.when(F.col("value").endswith("\r"), 1))
+            figures = ends.agg(F.count(F.when(F.col("value").rlike("\\S"), 1)).alias("n"), F.sum(quotes).alias("quotes"), F.max(quotes % 2).alias("odd"), returned.alias("returned"), F.count("*").alias("lines")).first()
             if not figures["n"]:
                 raise EmptyDataError(f"file is empty: {path}")
             if figures["quotes"] % 2:
                 raise InvalidDataError(f"a quote is not closed: {path}")
             multi_line = bool(figures["odd"])
+            # Spark takes one kind of line end for all of a file whose records span lines.
+            if multi_line and 0 < figures["returned"] < figures["lines"]:
+                native = False
         else:
             multi_line = options.multi_line
         names = header_names(_header(lines, sep, path))
@@ -130,7 +135,7 @@ def _records(sep: str, width: int, kind: Codec):
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 source = io.TextIOWrapper(codec.reader(io.BytesIO(data), kind), "utf-8-sig", errors="replace", newline="")
-                records = csv.reader(source, delimiter=sep)
+                records = csv.reader(source, delimiter=sep)  # takes any line end
                 next((r for r in records if r), None)  # the header
                 held: list[list[str | None]] = []
                 for r in records:
