@@ -82,14 +82,13 @@ def _plain(c: Column) -> Column:
 
 
 def _shortest(c: Column) -> Column:
-    """With an exponent from 1e21 on and below 1e-4, of two digits at least."""
+    """With an exponent, of two digits at least, from 1e6 on and below 1e-4."""
     sign, digits, exponent = _parts(c)
     fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
     tail = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
     scientific = F.concat(sign, F.substr(digits, F.lit(1), F.lit(1)), fraction, F.lit("e"), tail)
-    whole = F.when(c == F.floor(c), F.format_string("%d", c.cast("decimal(38,0)").cast("long"))).otherwise(_plain(c))
-    # The general form of %g switches at 21 digits only for unlimited precision.
-    return F.when(c == 0, "0").when((exponent < -4) | (exponent >= 21), scientific).otherwise(whole)
+    plain = F.when(c == F.floor(c), F.format_string("%d", c.cast("long"))).otherwise(_plain(c))
+    return F.when(c == 0, "0").when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
 
 
 def write_file(table: DataFrame, path: str, options: DumpOptions, name: str = "table") -> None:
@@ -187,14 +186,7 @@ def _streamed(table: DataFrame, folder: str, options: DumpOptions, name: str, st
 
     storage.make_dir(folder)
     pieces = rows.mapInArrow(encode, "data binary")
-    target = f"{folder}/part-0"
-    fs, where = storage._at(target)
-    stream = fs.create(where, True)
-    try:
-        for piece in pieces.toLocalIterator():
-            stream.write(bytearray(piece["data"]))
-    finally:
-        stream.close()
+    storage.write(f"{folder}/part-0", (piece["data"] for piece in pieces.toLocalIterator()))
 
 
 def _with_header(header: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:

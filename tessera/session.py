@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -68,6 +70,7 @@ class FileSession:
         self._saved: tuple | None = None
         self._integer_division = integer_division
         self.closed = False
+        self._tag = f"tessera-{uuid.uuid4().hex}"
         for name, table in tables.items():
             self._put(name, table)
         self._catalog()
@@ -522,6 +525,28 @@ class FileSession:
         if self._saved is not None:
             self.commit()
 
+    # ---- cancelling ------------------------------------------------------------------------
+
+    @contextmanager
+    def limit(self, seconds: float | None = None) -> Iterator[FileSession]:
+        """Jobs started within are cancelled after so many seconds, or by :meth:`cancel`."""
+        sc = self.spark.sparkContext
+        sc.addJobTag(self._tag)
+        timer = threading.Timer(seconds, self.cancel) if seconds is not None else None
+        if timer is not None:
+            timer.daemon = True
+            timer.start()
+        try:
+            yield self
+        finally:
+            if timer is not None:
+                timer.cancel()
+            sc.removeJobTag(self._tag)
+
+    def cancel(self) -> None:
+        """Stop the jobs started within :meth:`limit`, from any thread."""
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)
+
     def dump(self, folder: str, options: DumpOptions = DumpOptions()) -> list[str]:
         """Write each table into a file of its own below ``folder``; their paths."""
         self._open()

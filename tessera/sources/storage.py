@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -71,12 +71,14 @@ class Storage:
         if not fs.rename(a, b):
             raise NotFoundError(f"cannot move {source} to {target}")
 
-    def write(self, path: str, data: bytes) -> None:
+    def write(self, path: str, data: bytes | Iterable[bytes]) -> None:
+        """Bytes, or pieces of them, into a file."""
         fs, where = self._at(path)
         out = fs.create(where, True)
+        pieces = (data[i : i + (1 << 20)] for i in range(0, len(data), 1 << 20)) if isinstance(data, bytes) else data
         try:
-            for i in range(0, len(data), 1 << 20):
-                out.write(bytearray(data[i : i + (1 << 20)]))
+            for piece in pieces:
+                out.write(bytearray(piece))
         finally:
             out.close()
 

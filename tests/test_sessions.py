@@ -261,6 +261,15 @@ def test_texts_of_values(spark, tmp_path):
     assert (tmp_path / "t.csv").read_text() == 'a,b,s,f\n1,25.5,,1\n10000000,0.000015,"a,""b""",0\n-0.25,123456789.125,"x\ny",\n'
 
 
+def test_floats_with_exponents_as_an_option(spark, tmp_path):
+    from tessera.operators.sinks import write_file
+
+    values = [1000000.0, 123456.0, 0.00012, 0.000012, 12.5, 0.0, -1234567.5, 1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    write_file(df, str(tmp_path / "t.csv"), DumpOptions(go_floats=True))
+    assert (tmp_path / "t.csv").read_text().split()[1:] == ["1e+06", "123456", "0.00012", "1.2e-05", "12.5", "0", "-1.2345675e+06", "1e+300"]
+
+
 def test_refused_dumps(spark, db, tmp_path):
     with pytest.raises(UnsupportedFormatError, match="bzip2"):
         db.dump(str(tmp_path), DumpOptions().with_compression("bzip2"))
@@ -322,3 +331,17 @@ def test_windows_over_a_stream(spark, tmp_path):
     query.stop()
     found = {(str(r["window_start"])[11:16], r["kind"], r["n"]) for r in spark.table("counts").collect()}
     assert found == {("00:00", "x", 1), ("00:05", "x", 1), ("00:00", "y", 1)}
+
+
+def test_jobs_can_be_limited_and_cancelled(spark, db):
+    slow = "SELECT COUNT(*) FROM (SELECT a.id FROM employees a, employees b, employees c, employees d, employees e, employees f, employees g, employees h, employees i, employees j, employees k WHERE a.id + b.id + c.id + d.id + e.id + f.id + g.id + h.id + i.id + j.id + k.id = 7)"
+    with pytest.raises(Exception, match="cancelled"), db.limit(1.0):
+        db.sql(slow).collect()
+    with db.limit(60):
+        assert rows(db, "SELECT COUNT(*) FROM employees") == [(8,)]
+
+
+def test_json_rows(spark, files):
+    db = tessera.open(files(j__csv='id,tags\n1,"[""a"",""b""]"\n2,"{""k"": 5}"\n'), spark=spark)
+    assert rows(db, "SELECT j.id, e.key, e.value FROM j, json_each(j.tags) AS e ORDER BY j.id, e.key") == [(1, "0", "a"), (1, "1", "b"), (2, "k", "5")]
+    assert rows(db, "SELECT json_object('a', 1, 'b', NULL), json_array(1, 2), json_valid('[1]'), json_valid('[')") == [('{"a":1,"b":null}', "[1,2]", 1, 0)]
