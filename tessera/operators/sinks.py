@@ -69,7 +69,7 @@ def _parts(c: Column) -> tuple[Column, Column, Column]:
     digits = F.concat(whole, fraction)
     lead = F.length(F.regexp_extract(digits, "^(0*)", 1))
     exponent = power + F.length(whole) - 1 - lead
-    return F.when(c < 0, "-").otherwise(""), F.regexp_replace(digits, "^0+", ""), exponent
+    return F.when(c < 0, "-").otherwise(""), F.regexp_replace(digits, "^0+|0+$", ""), exponent
 
 
 def _plain(c: Column) -> Column:
