@@ -202,6 +202,7 @@ def tensor_table(table: pa.Table) -> pa.Table:
             ids.append(doc)
             starts.append(t["start"])
             ends.append(t["end"])
-            values.append(t["values"])
-    storage = pa.array(values, pa.list_(pa.int16(), FRAMES * MELS))
+            values.append(np.asarray(t["values"], np.int16))
+    flat = np.concatenate(values) if values else np.zeros(0, np.int16)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(flat), FRAMES * MELS)
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.float64()), "end": pa.array(ends, pa.float64()), "tensor": pa.ExtensionArray.from_storage(kind, storage)})

@@ -64,7 +64,7 @@ class Vocabulary:
         with open(path, "rb") as f:
             pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
         pieces |= {bytes([b]) for b in range(256)}
-        # A piece that starts with zero bytes would pack like a shorter one.
+        # A longer piece that starts with a zero byte would pack like a shorter one.
         self.pieces = sorted(p for p in pieces if len(p) <= PIECE and (len(p) == 1 or p[0]))
         self.lengths = np.array([0, *(len(p) for p in self.pieces)])
         self.bits = max(12, (4 * len(self.pieces)).bit_length())
@@ -109,7 +109,8 @@ def lattice(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
     for n in range(PIECE):
         packed = (packed << np.uint64(8)) | joined[:, n : n + longest]
         inside = np.arange(longest)[None, :] + n < length[:, None]
-        found[:, :, n][inside] = vocab.find(packed[inside])
+        which = vocab.find(packed[inside])
+        found[:, :, n][inside] = np.where(vocab.lengths[which] == n + 1, which, 0)  # leading zero bytes do not show in a packed number
     return length, found
 
 

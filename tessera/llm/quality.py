@@ -249,4 +249,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", meta_cols: t
                 yield pa.RecordBatch.from_arrays([*rest.columns[1 + len(meta_cols) :], *(pa.array(np.round(v, 9)) for v in views)], names=[*rest.schema.names[1 + len(meta_cols) :], *made])
 
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.select(*[F.col(f"`{c}`") for c in own]).dtypes] + [f"{c} double" for c in made])
-    return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_meta_{c}") for c in meta_cols], *[F.col(f"`{c}`") for c in own]).mapInArrow(work, schema)
+    return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_quality_text"), *[F.col(c).alias(f"_quality_{i}") for i, c in enumerate(meta_cols)], *[F.col(f"`{c}`") for c in own]).mapInArrow(work, schema)
