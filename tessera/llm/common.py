@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
@@ -61,6 +64,11 @@ class Scratch:
         for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             delete_path(self.spark, file)
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files of what is no longer referenced, which it does when objects are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     @staticmethod
     def keep(df: DataFrame) -> DataFrame:
         return df.checkpoint()
@@ -105,7 +113,8 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def ensure_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Fail early, and by name, where an input lacks a column."""
+    """Fail early, and by name, where an input lacks a column; see to it that executors have this package."""
+    ship(df.sparkSession)
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"input lacks the columns {missing}; it has {df.columns}")

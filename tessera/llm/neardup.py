@@ -17,12 +17,17 @@ its length, sets their number); if one stays empty, the time is doubled.
 Signatures are cut into bands; documents that agree in one are candidates.
 Candidates are verified on the exact sets.  No bucket is expanded into pairs:
 
-1. Members are compared with the bucket's first; classes are formed.
-2. Buckets with members in several classes are left.  Small ones (``small``
-   members) give their pairs across classes.  Large ones are dealt again by all
-   bands within the bucket, and start over at 1.
-3. At ``depth`` deals, pairs across classes are taken whatever the size, so no
-   candidate is lost.  A pair within one class needs no test.
+1. Members are compared with the bucket's leader, that which meets most others;
+   classes are formed.
+2. In buckets that still hold several classes (of up to ``small`` members), those
+   outside the most common class are compared with the members of other classes.
+   Larger buckets are dealt again by all bands within them, and start over at 1.
+3. At ``depth`` deals, 2. holds whatever the size, so no candidate is lost.  A
+   pair within one class needs no test.
+
+Before sets are compared, a pair's weights and SKETCH-bit sketches of its sets
+must allow the similarity (:func:`likely`), which is looked at within the join
+that makes the pair.
 
 Exact copies are one document throughout.
 
@@ -47,10 +52,13 @@ from .repeats import Hashes, _mixed
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 4
-SMALL = 48
+BANDS, ROWS = 22, 5
+SMALL = 5_000
 DEPTH = 4
-SPARE = 6.0
+SPARE = 3.0
+SKETCH = 2_048
+SHORT = 32
+SIGMAS = 3.5
 MASK = (1 << 64) - 1
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -107,29 +115,34 @@ def dart_signatures(element: np.ndarray, which: np.ndarray, weight: np.ndarray,
         found: list[tuple[np.ndarray, ...]] = []
         cell, low, width = 0, 0.0, 1.0
         while len(e):
-            live_e, live_d, live_w = e, d, w
+            last, partial = until[d], w < low + width
+            some = partial.any()
             time = np.zeros(len(e))
             seed = _mixed(e + np.uint64(0x632BE59BD9B4E019 * (cell + 1) & MASK))
-            j = 0
-            while len(live_e):
+            live_d, live_w, j = d, w, 0
+            while len(seed):
                 dart = _mixed(seed + np.uint64(0x9FB21C651E98DF25 * (j + 1) & MASK))
-                time = time - np.log(_uniform(dart)) / width
-                on = time < until[live_d]
-                live_e, live_d, live_w, time, seed, dart = (x[on] for x in (live_e, live_d, live_w, time, seed, dart))
-                second = _mixed(dart + np.uint64(0xD6E8FEB86659FD93))
-                seen = low + width * _uniform(second) < live_w
-                found.append((live_d[seen], time[seen], dart[seen], (_mixed(second + np.uint64(1)) % np.uint64(coordinates)).astype(np.int64)[seen]))
+                time -= np.log(_uniform(dart)) / width
+                on = np.flatnonzero(time < last)
+                seed, time, last, live_d, dart = seed[on], time[on], last[on], live_d[on], dart[on]
+                if some:
+                    live_w = live_w[on]
+                    seen = low + width * _uniform(_mixed(dart + np.uint64(0xD6E8FEB86659FD93))) < live_w
+                    found.append((live_d[seen], time[seen], dart[seen]))
+                else:
+                    found.append((live_d, time.copy(), dart))
                 j += 1
             low, width, cell = low + width, low + width, cell + 1
             more = w > low
             e, d, w = e[more], d[more], w[more]
-        doc, time, dart, coordinate = (np.concatenate(x) for x in zip(*found, strict=True))
-        late = np.argsort(-time, kind="stable")
-        slot = doc[late] * coordinates + coordinate[late]
-        signature.reshape(-1)[slot] = dart[late]  # the earliest is written last
-        hit = np.zeros(texts * coordinates, bool)
-        hit[slot] = True
-        todo &= ~hit.reshape(texts, coordinates).all(axis=1)
+        doc, time, dart = (np.concatenate(x) for x in zip(*found, strict=True))
+        coordinate = (_mixed(dart + np.uint64(1)) % np.uint64(coordinates)).astype(np.int64)
+        slot = doc * coordinates + coordinate
+        earliest = np.full(texts * coordinates, np.inf)
+        np.minimum.at(earliest, slot, time)
+        wins = time == earliest[slot]
+        signature.reshape(-1)[slot[wins]] = dart[wins]
+        todo &= ~np.isfinite(earliest).reshape(texts, coordinates).all(axis=1)
         until = np.where(todo, 2 * until, until)
     return signature
 
@@ -153,17 +166,62 @@ def _signed(words: int, n_bands: int, rows: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in slices(offsets, 1 << 19):
+            key = np.zeros((batch.num_rows, n_bands), np.uint64)
+            short: list[tuple[np.ndarray, ...]] = []
+            for i, j in slices(offsets, 1 << 18):
                 s, which = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                signature = dart_signatures(*weighted(s, which), j - i, n_bands * rows)
-                key = bands(signature, rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _list(key.ravel(), np.full(j - i, n_bands))], names=["node", "bands"])
+                s, which, times = weighted(s, which)
+                # Few shingles throw many darts each, one after the other: such texts are done together.
+                few = np.bincount(which, weights=times, minlength=j - i)[which] < SHORT
+                short.append((s[few], which[few] + i, times[few]))
+                key[i:j] = bands(dart_signatures(s[~few], which[~few], times[~few], j - i, n_bands * rows), rows)
+            s, which, times = (np.concatenate(x) for x in zip(*short, strict=True)) if short else (np.zeros(0, np.int64),) * 3
+            if len(s):
+                own, which = np.unique(which, return_inverse=True)
+                key[own] = bands(dart_signatures(s, which, times, len(own), n_bands * rows), rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _list(key.ravel(), np.full(batch.num_rows, n_bands))], names=["node", "bands"])
 
     return work, "node long, bands array<long>"
 
 
+def sketches(element: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each set (elements side by side), on which side of SKETCH random planes it lies: bits as longs.
+
+    Sets whose vectors enclose an angle differ in that share of a half turn of the bits.
+    """
+    out = np.zeros((len(counts), SKETCH // 64), np.int64)
+    ends = np.cumsum(counts)
+    salt = np.arange(1, SKETCH // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k, (n, end) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
+        total = np.zeros(SKETCH, np.int64)
+        for at in range(end - n, end, 4096):
+            words = _mixed(element[at : min(at + 4096, end), None] + salt)
+            total += np.unpackbits(words.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * total > n).view(np.int64)
+    return out
+
+
+def likely(similarity: float) -> Column:
+    """May two sets (columns ``w, sketch`` and those with an underscore) be similar enough?
+
+    Their weights must allow it.  Sets of that similarity enclose at most the
+    angle whose cosine is 2 s / (1 + s); their sketches may differ in the bits
+    that stands for and SIGMAS standard deviations more.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    most = lambda n: int(np.ceil(n * share + SIGMAS * np.sqrt(n * share * (1 - share))))
+
+    def differ(longs: int) -> Column:
+        each = [F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_", F.lit(i)))) for i in range(longs)]
+        return sum(each[1:], each[0])
+
+    longs = SKETCH // 64
+    # A few bits part most pairs already.
+    return (F.least("w", "w_") >= similarity * F.greatest("w", "w_")) & (differ(longs // 8) <= most(SKETCH // 8)) & (differ(longs) <= most(SKETCH))
+
+
 def _sets(words: int):
-    """Rows (node, text) to rows (node, elements): a shingle that occurs n times gives n elements, so set measures are weighted ones."""
+    """Rows (node, text) to rows (node, w, sketch, elements): a shingle that occurs n times gives n elements, so set measures are weighted ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +232,10 @@ def _sets(words: int):
                 nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
                 element = _mixed(np.repeat(s, times) + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                 counts = np.bincount(np.repeat(which, times), minlength=j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _list(element, counts)], names=["node", "elements"])
+                sketch = _list(sketches(element, counts).ravel(), np.full(j - i, SKETCH // 64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), sketch, _list(element, counts)], names=["node", "w", "sketch", "elements"])
 
-    return work, "node long, elements array<long>"
+    return work, "node long, w long, sketch array<long>, elements array<long>"
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -213,60 +272,84 @@ def link(signed: DataFrame, texts: DataFrame, scratch: Scratch, *, words: int, s
     """node, class of all nodes that have a near-duplicate; None if there is none."""
     deal = lambda df, *keys: df.select(F.explode("bands").alias("band"), "node", *keys)
 
+    def named(column: str, mark: str = "") -> DataFrame:
+        return sets.select(F.col("node").alias(column), *[F.col(c).alias(c + mark) for c in ("w", "sketch")])
+
     def buckets(dealt: DataFrame) -> DataFrame:
-        """key, node, leader, members of all buckets with several members."""
-        shared = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
-        return scratch.table(dealt.join(shared, "key"))
+        """key, node, leader, its rank, members of all buckets with several members.
+
+        A bucket is led by the member that meets most others in all buckets:
+        of copies that differ from one original each in its own way, the original.
+        """
+        shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        met = scratch.table(dealt.join(shared, "key"))
+        rank = met.groupBy("node").agg(F.sum("members").alias("rank"))
+        leaders = met.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("node"))).alias("lead"))
+        return scratch.table(met.join(leaders, "key").select("key", "node", (-F.col("lead.node")).alias("leader"), F.col("lead.rank").alias("rank"), "members"))
 
     members = buckets(deal(signed).select(F.col("band").alias("key"), "node"))
     work, schema = _sets(words)
-    sets = scratch.table(texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(work, schema))
+    # The candidates' number follows the corpus, so their join is a shuffle at every size.
+    candidates = members.select("node").distinct().hint("merge")
+    sets = scratch.table(texts.join(candidates, "node").select("node", "text").mapInArrow(work, schema))
+    scratch.release()
     tested: DataFrame | None = None
     links: DataFrame | None = None
     labels: DataFrame | None = None
 
-    def test(pairs: DataFrame) -> bool:
-        """Verify pairs that have not been; whether any are links."""
+    def test(pairs: DataFrame) -> None:
+        """Verify those likely pairs that have not been, and form the classes anew if they hold links."""
         nonlocal tested, links, labels
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs)
+        if pairs.isEmpty():
+            return
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = scratch.table(verified(pairs, sets, similarity))
-        if more.isEmpty():
-            return False
-        links = more if links is None else links.unionByName(more)
-        labels = components(links, scratch)
-        return True
+        scratch.release()
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            labels = components(links, scratch)
 
-    def classed(df: DataFrame) -> DataFrame:
+    def classed(df: DataFrame, node: str = "node", name: str = "class") -> DataFrame:
         if labels is None:
-            return df.withColumn("class", F.col("node"))
-        return df.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+            return df.withColumn(name, F.col(node))
+        return df.join(labels.select(F.col("node").alias(node), F.col("class").alias("_class")), node, "left").withColumn(name, F.coalesce("_class", node)).drop("_class")
 
     def across(df: DataFrame) -> DataFrame:
-        left = df.select("key", F.col("node").alias("x"), F.col("class").alias("cx"))
-        right = df.select("key", F.col("node").alias("y"), F.col("class").alias("cy"))
-        pairs = left.join(right, "key").where("cx < cy")
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        """Likely pairs of a bucket's members outside its most common class with members of other classes.
+
+        A pair that meets in several buckets is made in that of the smallest key only.
+        """
+        sizes = df.groupBy("key", "class").count()
+        common = sizes.groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("most"))
+        keys = df.groupBy("node").agg(F.collect_list("key").alias("keys"))
+        rows = df.join(common, "key").join(keys, "node").join(named("node"), "node").select("key", "node", "class", "keys", "w", "sketch", (F.col("class") != F.col("most")).alias("apart"))
+        left = rows.where("apart").drop("apart")
+        right = rows.select("key", *[F.col(c).alias(f"{c}_") for c in rows.columns if c != "key"])
+        once = (~F.col("apart_") | (F.col("node") < F.col("node_"))) & (F.array_min(F.array_intersect("keys", "keys_")) == F.col("key"))
+        pairs = left.join(right, "key").where((F.col("class") != F.col("class_")) & likely(similarity) & once)
+        return pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
 
     for level in range(depth + 1):
-        test(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+        star = members.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max("rank").alias("rank"))
+        star = scratch.table(star.join(named("a"), "a").join(named("b", "_"), "b").where(likely(similarity)).select("a", "b", "rank"))
+        # The highest leader first: most others are of the same class then, and need no test.
+        test(star.groupBy("b").agg(F.max_by("a", F.struct("rank", -F.col("a"))).alias("a")).select("a", "b"))
+        test(classed(classed(star, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b"))
         now = classed(members)
         mixed = now.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
         mixed = scratch.table(now.join(mixed, "key"))
         last = level == depth
-        few = mixed if last else mixed.where(F.col("members") <= small)
-        if mixed.isEmpty():
-            break
-        test(across(few))
+        test(across(mixed if last else mixed.where(F.col("members") <= small)))
         if last:
             break
         many = mixed.where(F.col("members") > small).select("key", "node")
         if many.isEmpty():
             break
         # Near-duplicates in a large bucket agree in further bands; the one that made the bucket parts nothing.
-        again = deal(many.join(signed, "node"), "key").select(F.xxhash64("key", "band").alias("key"), "node", (F.col("key") == F.col("band")).alias("own")).where("not own").drop("own")
+        again = deal(many.join(signed, "node"), "key").where("band != key").select(F.xxhash64("key", "band").alias("key"), "node")
         members = buckets(again)
     return labels
 
@@ -286,6 +369,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         texts = scratch.table(texts.select("t1", "t2", _node(F.col("id"), F.col("t1")).alias("node"), F.lower("text").alias("text")))
         work, schema = _signed(words, n_bands, rows)
         signed = scratch.table(texts.select("node", "text").mapInArrow(work, schema))
+        scratch.release()
         labels = link(signed, texts, scratch, words=words, similarity=similarity, small=small, depth=depth)
         named = texts.select("t1", "t2", "node")
         if labels is not None:
