@@ -42,8 +42,8 @@ from .suffixes import suffix_array
 SPAN = 400
 GRAM = 128
 CROWD = 2_000
-CHUNK = 1 << 20
-BLOCK = 1 << 20
+CHUNK = 1 << 19
+BLOCK = 1 << 19
 TRIGGER = 8
 PHRASE = 32
 
