@@ -47,8 +47,8 @@ BLOCK = 1 << 19
 TRIGGER = 8
 PHRASE = 32
 
-RUN = "h long, d1 long, d2 long, t1 long, t2 long, start long, windows int, mark int"
-_RUN = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("mark", pa.int32())])
+RUN = "h long, d1 long, d2 long, t1 long, t2 long, starts array<long>, windows int, mark int"
+_RUN = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("starts", pa.list_(pa.int64())), ("windows", pa.int32()), ("mark", pa.int32())])
 _RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
@@ -148,7 +148,13 @@ def _cut_runs(span: int, gram: int):
                     doc = np.searchsorted(bounds, start, "right") - 1
                     digest = _digests(part, start, start + windows + span - 1)
                     place = start + a - offsets[i + doc] if j - i > 1 else start + a - low
-                    yield batch_of(_RUN, h.view(np.int64), digest[:, 0].copy(), digest[:, 1].copy(), t1[i + doc], t2[i + doc], place, windows.astype(np.int32), (mark - start).astype(np.int32))
+                    # Equal runs of a text, which words said over and over make, are one row.
+                    order = np.lexsort((digest[:, 1], digest[:, 0], doc))
+                    d, n = digest[order], doc[order]
+                    new = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (d[1:] != d[:-1]).any(axis=1)]))
+                    first, own = order[new], i + n[new]
+                    starts = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(order)]]).astype(np.int32)), pa.array(place[order]))
+                    yield batch_of(_RUN, h[first].view(np.int64), digest[first, 0], digest[first, 1], t1[own], t2[own], starts, windows[first].astype(np.int32), (mark - start)[first].astype(np.int32))
 
     return work
 
@@ -323,12 +329,13 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram
     key = ["h", "d1", "d2"]
     long_ = texts.where(F.octet_length("text") >= span)
     occurrences = scratch.table(long_.select("t1", "t2", "text").mapInArrow(_cut_runs(span, gram), RUN))
-    shared = occurrences.groupBy("h").count().where("count > 1").select("h")
+    shared = occurrences.groupBy("h").agg(F.sum(F.size("starts")).alias("count")).where("count > 1").select("h")
     alike = scratch.table(occurrences.join(shared, "h"))
     scratch.drop(occurrences)
 
     first = [F.first(c).alias(c) for c in ("t1", "t2", "start", "windows", "mark")]
-    kinds = scratch.table(alike.groupBy(*key).agg(F.count("*").alias("times"), *first))
+    counted = alike.withColumns({"start": F.get("starts", F.lit(0)), "n": F.size("starts")}).drop("starts")
+    kinds = scratch.table(counted.groupBy(*key).agg(F.sum("n").alias("times"), *first))
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b")))
     several = kinds.where("times > 1").select(*key, whole.alias("ranges"))
 
@@ -349,7 +356,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram
         found = found.unionByName(places.select(*key, F.transform("w", lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("ranges")))
     found = scratch.table(found)
 
-    at = F.transform("ranges", lambda x: F.struct((F.col("start") + x["a"]).alias("start"), (F.col("start") + x["b"] + span).alias("stop")))
+    at = F.flatten(F.transform("starts", lambda s: F.transform("ranges", lambda x: F.struct((s + x["a"]).alias("start"), (s + x["b"] + span).alias("stop")))))
     parts = alike.join(found, key).select("t1", "t2", at.alias("part"))
     spans = parts.groupBy("t1", "t2").agg(F.flatten(F.collect_list("part")).alias("spans"))
     copies = long_.where("copies > 1").select("t1", "t2", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))).alias("spans"))
