@@ -43,7 +43,7 @@ SAMPLE_ROWS = 2_000
 ROUNDS = 3
 FLOOR = 1e-5
 SCALE = 16.0
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -132,8 +132,8 @@ def word_scores(words: list[bytes], vocab: Vocabulary, chances: np.ndarray) -> n
     """Log probability of each word in each language."""
     out = np.empty((len(words), chances.shape[1]))
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), 8192):
-        part = order[at : at + 8192]
+    for at in range(0, len(order), 4096):
+        part = order[at : at + 4096]
         length, pieces = lattice([words[i] for i in part], vocab)
         total = forward(length, pieces, chances)[length, np.arange(len(part))]
         out[part] = np.log(total) - length[:, None] * np.log(SCALE)
@@ -183,30 +183,50 @@ def parts_of(word: str) -> list[bytes]:
     return [raw] if len(raw) <= LONGEST else [raw[i : i + LONGEST] for i in range(0, len(raw), LONGEST)]
 
 
+class Remembered:
+    """Words and their scores, until there are too many."""
+
+    def __init__(self, languages: int):
+        self.languages = languages
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.scores = np.zeros((0, self.languages))
+
+    def add(self, words: list[str], scores: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.scores = np.concatenate([self.scores, scores])
+
+
 class Model:
     """Piece probabilities by language; what executors need to score texts."""
 
     def __init__(self, languages: list[str], priors: np.ndarray, chances: np.ndarray, path: str):
         self.languages, self.priors, self.chances, self.path = languages, priors, chances, path
 
-    def score(self, texts: list[str | None], memory: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
-        """Predicted languages and their posterior probabilities; ``memory`` keeps words' scores."""
+    def score(self, texts: list[str | None], memory: Remembered | None = None) -> tuple[list[str], np.ndarray]:
+        """Predicted languages and their posterior probabilities; ``memory`` keeps words' scores from call to call."""
+        memory = memory or Remembered(len(self.languages))
         counted = [words_of(t) if t else Counter() for t in texts]
-        new = list({w for c in counted for w in c}.difference(memory))
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-            new = list({w for c in counted for w in c})
+        words = {w for c in counted for w in c}
+        new = list(words.difference(memory.place))
+        if len(memory.place) + len(new) > REMEMBERED:
+            memory.forget()
+            new = list(words)
         if new:
             parts = [parts_of(w) for w in new]
             scores = word_scores([p for ps in parts for p in ps], vocabulary(self.path), self.chances)
             starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-            memory.update(zip(new, np.add.reduceat(scores, starts, axis=0), strict=True))
+            memory.add(new, np.add.reduceat(scores, starts, axis=0))
         names, chances = [], np.zeros(len(texts))
         for i, c in enumerate(counted):
             if not c:
                 names.append(UNKNOWN)
                 continue
-            total = self.priors + np.fromiter(c.values(), float, len(c)) @ np.array([memory[w] for w in c])
+            # in the words' own order, so equal texts have equal sums
+            at = np.fromiter((memory.place[w] for w in c), np.int64, len(c))
+            total = self.priors + np.fromiter(c.values(), float, len(c)) @ memory.scores[at]
             best = int(total.argmax())
             names.append(self.languages[best])
             chances[i] = 1 / np.exp(total - total[best]).sum()
@@ -275,7 +295,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return Model(languages, np.log(n / n.sum()), scaled(chances), path)
 
 
-_MEMORY: dict[int, dict] = {}
+_MEMORY: dict[int, Remembered] = {}
 
 
 def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
@@ -287,7 +307,7 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     mark = hash((model.chances.tobytes(), tuple(model.languages)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _MEMORY.setdefault(mark, {})
+        memory = _MEMORY.setdefault(mark, Remembered(len(model.languages)))
         for other in [k for k in _MEMORY if k != mark]:
             del _MEMORY[other]
         for batch in batches:

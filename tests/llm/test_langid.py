@@ -66,10 +66,11 @@ def test_training_does_not_see_held_out_rows(spark):
 
 def test_equal_texts_get_equal_results_whatever_is_remembered(spark):
     model = langid.fit(corpus(spark))
-    memory = {}
+    memory = langid.Remembered(len(model.languages))
     texts = ["bado kira", None, "12 34 !", "schtum grolk", "bado kira", "x" * 500, "²½"]
     first = model.score(texts, memory)
     again = model.score(texts[::-1], memory)
+    assert memory.place and model.score(texts)[0] == first[0]
     assert first[0] == again[0][::-1] and (first[1] == again[1][::-1]).all()
     assert first[0][1] == first[0][2] == first[0][6] == "und" and first[0][0] == "aa" and first[0][3] == "bb"
 
