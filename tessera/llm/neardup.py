@@ -40,7 +40,9 @@ empty table gives an empty result; further columns are ignored by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +60,8 @@ DEPTH = 4
 SPARE = 3.0
 SKETCH = 2_048
 SHORT = 32
-SIGMAS = 3.5
+MISSED = 1e-4
+EXACT = 64
 MASK = (1 << 64) - 1
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -187,7 +190,7 @@ def _signed(words: int, n_bands: int, rows: int):
 def sketches(element: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each set (elements side by side), on which side of SKETCH random planes it lies: bits as longs.
 
-    Sets whose vectors enclose an angle differ in that share of a half turn of the bits.
+    Large sets whose vectors enclose an angle differ in about that share of a half turn of the bits; see :func:`shares`.
     """
     out = np.zeros((len(counts), SKETCH // 64), np.int64)
     ends = np.cumsum(counts)
@@ -201,23 +204,73 @@ def sketches(element: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache
+def _votes(n: int) -> np.ndarray:
+    """Probability of each number of ones among n fair votes."""
+    return np.array([math.comb(n, k) / (1 << n) for k in range(n + 1)])
+
+
+def differing(shared: int, left: int, right: int) -> float:
+    """Probability that a sketch bit differs between sets of so many shared and so many own elements."""
+    ones = np.arange(shared + 1)
+
+    def set_(own: int) -> np.ndarray:
+        """Probability of a one, by the ones among the shared elements: it takes more than half of all votes."""
+        tail = np.append(np.cumsum(_votes(own)[::-1])[::-1], 0.0)
+        return tail[np.clip((shared + own) // 2 + 1 - ones, 0, own + 1)]
+
+    a, b = set_(left), set_(right)
+    return float(_votes(shared) @ (a * (1 - b) + b * (1 - a)))
+
+
+@lru_cache
+def shares(similarity: float) -> tuple[float, ...]:
+    """By the smaller set's size up to EXACT, the largest share of bits in which sets of that similarity differ.
+
+    Ties of the votes, which count as zeros, and the few values that small sums
+    take bring it above the angle's share; from EXACT on by less than in the
+    last quarter before, which stands for all larger sets.
+    """
+    found = [0.0]
+    for low in range(1, EXACT + 1):
+        worst = 0.0
+        for high in range(low, math.floor(low / similarity + 1e-9) + 1):
+            least = math.ceil(similarity * (low + high) / (1 + similarity) - 1e-9)
+            worst = max(worst, *(differing(s, low - s, high - s) for s in range(least, low + 1)), 0.0)
+        found.append(worst)
+    angle = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return (*found[:EXACT], max(angle, *found[EXACT * 3 // 4 :]))
+
+
+@lru_cache
+def most(bits: int, share: float) -> int:
+    """So many of the bits differ at most, but for a probability of MISSED."""
+    if not 0 < share < 1:
+        return round(bits * share)
+    k = np.arange(bits + 1)
+    ways = np.array([math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1) for i in range(bits + 1)])
+    chance = np.exp(ways + k * math.log(share) + (bits - k) * math.log1p(-share))
+    return int(np.flatnonzero(np.append(np.cumsum(chance[::-1])[::-1], 0.0)[1:] <= MISSED)[0])
+
+
 def likely(similarity: float) -> Column:
     """May two sets (columns ``w, sketch`` and those with an underscore) be similar enough?
 
-    Their weights must allow it.  Sets of that similarity enclose at most the
-    angle whose cosine is 2 s / (1 + s); their sketches may differ in the bits
-    that stands for and SIGMAS standard deviations more.
+    Their weights must allow it.  Sets of that similarity differ in the share of
+    bits that :func:`shares` has for the smaller one's size; their sketches may
+    differ in as many bits as that brings, each of the two tests missing such a
+    pair with probability MISSED.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
-    most = lambda n: int(np.ceil(n * share + SIGMAS * np.sqrt(n * share * (1 - share))))
+    size = F.least("w", "w_", F.lit(EXACT)).cast("int")
 
     def differ(longs: int) -> Column:
         each = [F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_", F.lit(i)))) for i in range(longs)]
-        return sum(each[1:], each[0])
+        limits = F.array(*[F.lit(most(64 * longs, share)) for share in shares(similarity)])
+        return sum(each[1:], each[0]) <= F.get(limits, size)
 
     longs = SKETCH // 64
     # A few bits part most pairs already.
-    return (F.least("w", "w_") >= similarity * F.greatest("w", "w_")) & (differ(longs // 8) <= most(SKETCH // 8)) & (differ(longs) <= most(SKETCH))
+    return (F.least("w", "w_") >= similarity * F.greatest("w", "w_")) & differ(longs // 8) & differ(longs)
 
 
 def _sets(words: int):

@@ -57,6 +57,30 @@ def test_classes_are_those_of_brute_force(spark, seed, small, depth):
     assert got == dict(enumerate(brute(texts)))
 
 
+def test_near_copies_of_few_words_are_found(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for i in range(60):
+        base = [word() for _ in range(8)]
+        texts += [" ".join(base), " ".join([*base, word()] if i % 2 else [word(), *base])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.report(docs).collect()}
+    assert got == dict(enumerate(brute(texts))) and set(got.values()) == set(range(0, 120, 2))
+
+
+@pytest.mark.parametrize(("shared", "left", "right"), [(4, 0, 1), (12, 0, 3), (20, 0, 5), (60, 4, 11)])
+def test_sketches_differ_as_computed(shared, left, right):
+    rng = np.random.default_rng(2)
+    share, seen = neardup.differing(shared, left, right), []
+    for _ in range(100):
+        x = rng.integers(0, 2**63, left + shared + right).astype(np.uint64)
+        a, b = neardup.sketches(np.concatenate([x[: left + shared], x[left:]]), np.array([left + shared, shared + right]))
+        seen.append(np.bitwise_count((a ^ b).view(np.uint64)).sum() / neardup.SKETCH)
+    assert abs(np.mean(seen) - share) < 0.003 and share <= neardup.shares(0.8)[min(left + shared, neardup.EXACT)]
+    assert max(seen) * neardup.SKETCH <= neardup.most(neardup.SKETCH, neardup.shares(0.8)[min(left + shared, neardup.EXACT)])
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     errors = []
