@@ -19,6 +19,7 @@ from tessera.llm import langid, mixing, neardup, packing, repeats
 from tessera.llm.common import Scratch
 
 SURE = 0.5
+PASSAGE_WORDS = 51
 ORACLE_SQL = None
 
 
@@ -36,8 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur twice go, as do documents of which nothing is left."""
-    return repeats.remove(docs)
+    """Passages of over 50 words, or of 400 bytes or more, that occur twice go, as do documents of which nothing is left."""
+    return repeats.remove(docs, words=PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

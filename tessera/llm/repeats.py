@@ -19,6 +19,9 @@ Equal strings meet in four steps, none of which needs the corpus in one place:
    many texts), their windows are dealt by digest instead, so no task holds
    such a group.  That way is exact as well.
 
+Passages can be counted in words as well (:func:`word_spans`): each word becomes
+a code of WORD bytes, and equal strings of codes are found in the same way.
+
 Defined results: a null text is empty; texts shorter than ``span`` keep all;
 repeated rows are copies, so they go as a whole if long enough; an empty table
 gives an empty result; further columns are ignored by :func:`report` and kept by
@@ -46,6 +49,9 @@ CHUNK = 1 << 19
 BLOCK = 1 << 19
 TRIGGER = 8
 PHRASE = 32
+WORD = 6
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 RUN = "h long, d1 long, d2 long, t1 long, t2 long, starts array<long>, windows int, mark int"
 _RUN = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("starts", pa.list_(pa.int64())), ("windows", pa.int32()), ("mark", pa.int32())])
@@ -279,9 +285,9 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text.alias("text")).withColumns({"t1": t1, "t2": t2}).groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
 
-def _run_bytes(span: int):
-    """Rows (text, list of runs) to rows (h, d1, d2, mark, bytes)."""
-    schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("mark", pa.int32()), ("bytes", pa.binary())])
+def _run_bytes(span: int, step: int):
+    """Rows (text, list of runs) to rows (h, d1, d2, mark, bytes, first): the first window at a multiple of ``step`` of the text."""
+    schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("mark", pa.int32()), ("bytes", pa.binary()), ("first", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,22 +301,24 @@ def _run_bytes(span: int):
             for i, j in slices(np.concatenate([[0], np.cumsum(stop - start)]), BLOCK):
                 pieces = [raw[a:b] for a, b in zip(start[i:j].tolist(), stop[i:j].tolist(), strict=True)]
                 part = item.slice(i, j - i)
-                yield batch_of(schema, *(part.field(c) for c in ("h", "d1", "d2", "mark")), pieces)
+                first = -part.field("start").to_numpy(zero_copy_only=False) % step
+                yield batch_of(schema, *(part.field(c) for c in ("h", "d1", "d2", "mark")), pieces, first.astype(np.int32))
 
-    return work, "h long, d1 long, d2 long, mark int, bytes binary"
+    return work, "h long, d1 long, d2 long, mark int, bytes binary, first int"
 
 
-def _windows(span: int):
-    """Rows (h, d1, d2, mark, bytes) to a row for each window: h, d1, d2, window, w1, w2."""
+def _windows(span: int, step: int):
+    """Rows (h, d1, d2, mark, bytes, first) to a row for each ``step``-th window: h, d1, d2, window, w1, w2."""
     schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("window", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(4))
             for i, j in slices(offsets, 1 << 18):
-                counts = np.diff(offsets[i : j + 1]) - span + 1
+                first = batch.column(5).to_numpy()[i:j]
+                counts = np.maximum(0, (np.diff(offsets[i : j + 1]) - span - first) // step + 1)
                 owner = np.repeat(np.arange(i, j), counts)
-                window = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                window = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * step + np.repeat(first, counts)
                 start = offsets[owner] + window
                 digest = _digests(data[offsets[i] : offsets[j]], start - offsets[i], start - offsets[i] + span)
                 yield batch_of(schema, *(batch.column(c).to_numpy()[owner] for c in range(3)), window.astype(np.int32), digest[:, 0].copy(), digest[:, 1].copy())
@@ -318,9 +326,11 @@ def _windows(span: int):
     return work, "h long, d1 long, d2 long, window int, w1 long, w2 long"
 
 
-def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD, step: int = 1) -> DataFrame:
     """t1, t2, spans of the texts of :func:`distinct_texts` in which a span repeats.
 
+    Texts of codes of ``step`` bytes need windows at whole codes only.
+
     ``spans`` are byte ranges array<struct<start:bigint,stop:bigint>>, neither
     sorted nor merged (see :func:`merged`); copies are one range over the whole.
     """
@@ -342,15 +352,15 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram
     width = kinds.groupBy("h").count().where("count > 1")
     mixed = kinds.join(width, "h")
     wanted = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "d1", "d2", "start", "windows", "mark")).alias("wanted"), F.max(F.col("count") > crowd).alias("crowded"))
-    work, schema = _run_bytes(span)
+    work, schema = _run_bytes(span, step)
     content = scratch.table(long_.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(work, schema))
     crowds = width.where(F.col("count") > crowd).select("h")
     work, schema = _sort_blocks(span)
     sorted_ = content.join(crowds, "h", "left_anti").select(*key, "mark", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(work, schema)
     found = several.unionByName(sorted_.where(F.size("ranges") > 0))
     if not crowds.isEmpty():
-        work, schema = _windows(span)
-        windows = scratch.table(content.join(crowds, "h", "left_semi").select(*key, "mark", "bytes").mapInArrow(work, schema))
+        work, schema = _windows(span, step)
+        windows = scratch.table(content.join(crowds, "h", "left_semi").select(*key, "mark", "bytes", "first").mapInArrow(work, schema))
         again = windows.groupBy("w1", "w2").count().where("count > 1").drop("count")
         places = windows.join(again, ["w1", "w2"]).groupBy(*key).agg(F.collect_list("window").alias("w"))
         found = found.unionByName(places.select(*key, F.transform("w", lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("ranges")))
@@ -363,6 +373,69 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram
     return spans.join(copies.select("t1", "t2"), ["t1", "t2"], "left_anti").unionByName(copies)
 
 
+# ---- passages counted in words --------------------------------------------------------------------
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word of texts side by side, and the number of words before each text."""
+    inside = ~WHITE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # no word goes on into the next text
+    start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside])[:-1]))
+    stop = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside, [False]])[1:])) + 1
+    return start, stop, np.searchsorted(start, offsets)
+
+
+def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t1, t2, copies, text): the text's words become WORD bytes each of their hash."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(3))
+        for i, j in slices(offsets, CHUNK):
+            part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            start, stop, before = word_bounds(part, bounds)
+            hashes = Hashes(part)
+            codes = _mixed((hashes.prefix[stop] - hashes.prefix[start]) * hashes.down[start]).view(np.uint8).reshape(-1, 8)[:, 8 - WORD :]
+            buffers = [None, pa.py_buffer((before * WORD).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(codes))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.Array.from_buffers(pa.binary(), j - i, buffers)], names=["t1", "t2", "copies", "text"])
+
+
+def _word_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t1, t2, text, spans of codes): the spans become bytes of the text."""
+    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
+    for batch in batches:
+        data, offsets = utf8(batch.column(2))
+        for i, j in slices(offsets, CHUNK):
+            bounds = offsets[i : j + 1] - offsets[i]
+            start, stop, before = word_bounds(data[offsets[i] : offsets[j]], bounds)
+            spans = batch.column(3).slice(i, j - i)
+            item, counts = spans.flatten(), spans.value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(j - i), counts)
+            first, last = (item.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+            # The codes beside a passage may go on alike for some bytes by chance; whole ones count.
+            first, last = -(-first // WORD), last // WORD
+            some = first < last
+            first, last, owner = first[some], last[some], owner[some]
+            first, last = start[before[owner] + first] - bounds[owner], stop[before[owner] + last - 1] - bounds[owner]
+            counts = np.bincount(owner, minlength=j - i)
+            item = pa.StructArray.from_arrays([pa.array(first), pa.array(last)], ["start", "stop"])
+            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), item)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(2)), found], schema=schema)
+
+
+def word_spans(texts: DataFrame, scratch: Scratch, *, words: int, crowd: int = CROWD) -> DataFrame:
+    """As :func:`repeated_spans`, of passages of so many ``words`` (parted by ASCII white space, of whatever length).
+
+    Codes are made anew where they are needed, since they take the room of the texts.
+    """
+    span = words * WORD
+    coded = texts.select("t1", "t2", "copies", "text").mapInArrow(_word_codes, "t1 long, t2 long, copies long, text binary")
+    spans = repeated_spans(coded, scratch, span=span, gram=min(GRAM, (span + 2) // 3), crowd=crowd, step=WORD)
+    return texts.join(spans, ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(_word_bytes, "t1 long, t2 long, spans array<struct<start:bigint,stop:bigint>>")
+
+
+# ---- removal --------------------------------------------------------------------------------------
+
+
 def merged(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of byte ranges, ascending, of an array of (start, stop)."""
     if not len(spans):
@@ -412,16 +485,23 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     )
 
 
-def remove(docs: DataFrame, *, text_col: str = "text", count_col: str | None = "n_chars", **options) -> DataFrame:
+def remove(docs: DataFrame, *, text_col: str = "text", count_col: str | None = "n_chars", words: int | None = None, **options) -> DataFrame:
     """``docs`` with the repeats gone from the text; where a cut splits a character, its rest goes too.
 
+    With ``words``, passages of so many words that repeat are repeats too.
     ``count_col``, if the table has it, is the number of characters and follows
     the text.  Rows whose text is left without a visible character are dropped.
     """
     ensure_columns(docs, text_col)
     with Scratch(docs.sparkSession, "repeats") as scratch:
         texts = scratch.table(distinct_texts(docs, text_col))
-        spans = scratch.keep(repeated_spans(texts, scratch, **options).select(F.col("t1").alias("_rep_1"), F.col("t2").alias("_rep_2"), F.col("spans").alias("_rep_spans")))
+        with Scratch(docs.sparkSession, "repeats") as inner:
+            spans = scratch.table(repeated_spans(texts, inner, **options))
+        if words is not None:
+            scratch.release()
+            said = word_spans(texts, scratch, words=words, **{k: v for k, v in options.items() if k == "crowd"})
+            spans = spans.unionByName(said).groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = scratch.keep(spans.select(F.col("t1").alias("_rep_1"), F.col("t2").alias("_rep_2"), F.col("spans").alias("_rep_spans")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

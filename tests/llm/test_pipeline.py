@@ -50,6 +50,25 @@ def test_stages(spark, tmp_path):
     assert len(rows) >= before.count()
 
 
+def test_passages_of_over_50_words_go(spark):
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 6))) for _ in range(n))
+    passages = {n: say(n) for n in (50, 51, 52, 55, 58, 60, 65)}
+    assert all(len(p) < 400 for p in passages.values())
+    rows, alone = [], {}
+    for n, passage in passages.items():
+        for k in range(2):
+            before, after = say(r.randint(1, 90)), say(r.randint(1, 90))
+            # White space between words does not make another passage.
+            inner = passage.replace(" ", "\n", 5) if k else passage
+            alone[len(rows)] = (before, inner, after, n)
+            rows.append((len(rows), f"{before} {inner} {after}", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {d["doc_id"]: d["text"] for d in corpus_pipeline.remove_repeats(spark, docs, "").collect()}
+    for i, (before, inner, after, n) in alone.items():
+        assert got[i] == (f"{before} {inner} {after}" if n <= 50 else f"{before}  {after}"), n
+
+
 def test_run_is_the_stages_in_turn(spark, tmp_path):
     docs, _ = documents(spark)
     docs.write.parquet(str(tmp_path / "documents.parquet"))

@@ -98,3 +98,17 @@ def test_awkward_rows(awkward, none):
     assert repeats.remove(none).collect() == [] and repeats.remove(awkward, span=50, gram=20).columns == awkward.columns
     long_ = next(r for r in rows if r["doc_id"] == 5)
     assert long_["n_removed"] == 3000  # one letter over and over: every string in it starts elsewhere too
+
+
+@pytest.mark.parametrize(("words", "crowd", "seed"), [(7, 2000, 5), (4, 2, 6)])
+def test_passages_in_words_are_those_of_brute_force(spark, words, crowd, seed):
+    texts = [t for t in corpus(seed) if t] + ["  lead  in a\tb", "漢字 ümläut " * 9, "x"]
+    split = [[w for w in t.replace("\t", " ").split(" ") if w] for t in texts]
+    count = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
+    want = []
+    for w in split:
+        gone = [any(count[tuple(w[i : i + words])] > 1 for i in range(max(0, k - words + 1), min(k, len(w) - words) + 1)) for k in range(len(w))]
+        want.append([x for x, g in zip(w, gone, strict=True) if not g])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split() for r in repeats.remove(docs, words=words, crowd=crowd, span=5000, gram=100).collect()}
+    assert got == {i: w for i, w in enumerate(want) if w}
