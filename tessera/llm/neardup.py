@@ -21,9 +21,12 @@ Candidates are verified on the exact sets.  No bucket is expanded into pairs:
    classes are formed.
 2. In buckets that still hold several classes (of up to ``small`` members), those
    outside the most common class are compared with the members of other classes.
-   Larger buckets are dealt again by all bands within them, and start over at 1.
-3. At ``depth`` deals, 2. holds whatever the size, so no candidate is lost.  A
-   pair within one class needs no test.
+   Larger buckets are dealt again by all bands within them, and start over at 1,
+   which unites most of their classes at little cost.
+3. After ``depth`` deals, 2. is done for the larger buckets as they first were, in
+   blocks of about ``small`` by ``small`` members of like weight: most pairs of
+   exactly the similarity that agree in but one band are found only there.  So no
+   candidate is lost.  A pair within one class needs no test.
 
 Before sets are compared, a pair's weights and SKETCH-bit sketches of its sets
 must allow the similarity (:func:`likely`), which is looked at within the join
@@ -370,40 +373,63 @@ def link(signed: DataFrame, texts: DataFrame, scratch: Scratch, *, words: int, s
             return df.withColumn(name, F.col(node))
         return df.join(labels.select(F.col("node").alias(node), F.col("class").alias("_class")), node, "left").withColumn(name, F.coalesce("_class", node)).drop("_class")
 
-    def across(df: DataFrame) -> DataFrame:
+    def across(df: DataFrame, in_blocks: bool = False) -> DataFrame:
         """Likely pairs of a bucket's members outside its most common class with members of other classes.
 
-        A pair that meets in several buckets is made in that of the smallest key only.
+        A pair that meets in several buckets is made in that of the smallest key
+        only.  In blocks, a bucket is many keys of the join: members meet those of
+        their own and the next steps of weight, about ``small`` by ``small`` at a time.
         """
         sizes = df.groupBy("key", "class").count()
-        common = sizes.groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("most"))
+        largest = F.max(F.struct("count", "class"))
+        common = sizes.groupBy("key").agg(largest["class"].alias("most"), *[x for x in ((F.sum("count") - largest["count"]).alias("out"), F.sum("count").alias("all")) if in_blocks])
         keys = df.groupBy("node").agg(F.collect_list("key").alias("keys"))
-        rows = df.join(common, "key").join(keys, "node").join(named("node"), "node").select("key", "node", "class", "keys", "w", "sketch", (F.col("class") != F.col("most")).alias("apart"))
-        left = rows.where("apart").drop("apart")
-        right = rows.select("key", *[F.col(c).alias(f"{c}_") for c in rows.columns if c != "key"])
+        rows = df.join(common, "key").join(keys, "node").join(named("node"), "node")
+        kept = ["key", "node", "class", "keys", "w", "sketch", (F.col("class") != F.col("most")).alias("apart")]
+        on = ["key"]
+        if in_blocks:
+            # A little wider than the similarity, so that rounding parts no pair; sizes that allow it are a step apart at most.
+            step = max(-math.log(max(similarity, 1e-9)), 0.01) * 1.001
+            blocks = lambda count: F.ceil(F.col(count) / F.lit(float(small))).cast("int")
+            own = lambda count: F.pmod(F.xxhash64(F.lit(count), "node"), blocks(count)).cast("int")
+            each = lambda count: F.explode(F.sequence(F.lit(0), blocks(count) - 1))
+            rows = rows.withColumn("weight", F.floor(F.log(F.greatest("w", F.lit(1)).cast("double")) / step).cast("int"))
+            on = ["key", "weight", "i", "j"]
+            left = rows.where("class != most").withColumns({"i": own("out"), "weight": F.explode(F.array(*[F.col("weight") + n for n in (-1, 0, 1)]))}).withColumn("j", each("all")).select(*on[1:], *kept).drop("apart")
+            right = rows.withColumns({"j": own("all")}).where("out > 0").withColumn("i", each("out")).select(*on[1:], *kept)
+        else:
+            rows = rows.select(*kept)
+            left, right = rows.where("apart").drop("apart"), rows
+        right = right.select(*on, *[F.col(c).alias(f"{c}_") for c in right.columns if c not in on])
         once = (~F.col("apart_") | (F.col("node") < F.col("node_"))) & (F.array_min(F.array_intersect("keys", "keys_")) == F.col("key"))
-        pairs = left.join(right, "key").where((F.col("class") != F.col("class_")) & likely(similarity) & once)
+        pairs = left.join(right, on).where((F.col("class") != F.col("class_")) & likely(similarity) & once)
         return pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
 
+    def still_mixed(df: DataFrame) -> DataFrame:
+        """The members, with their classes, of buckets that hold several."""
+        now = classed(df)
+        mixed = now.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+        return scratch.table(now.join(mixed, "key"))
+
+    large: DataFrame | None = None
     for level in range(depth + 1):
         star = members.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max("rank").alias("rank"))
         star = scratch.table(star.join(named("a"), "a").join(named("b", "_"), "b").where(likely(similarity)).select("a", "b", "rank"))
         # The highest leader first: most others are of the same class then, and need no test.
         test(star.groupBy("b").agg(F.max_by("a", F.struct("rank", -F.col("a"))).alias("a")).select("a", "b"))
         test(classed(classed(star, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b"))
-        now = classed(members)
-        mixed = now.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
-        mixed = scratch.table(now.join(mixed, "key"))
-        last = level == depth
-        test(across(mixed if last else mixed.where(F.col("members") <= small)))
-        if last:
-            break
+        mixed = still_mixed(members)
+        test(across(mixed.where(F.col("members") <= small)))
         many = mixed.where(F.col("members") > small).select("key", "node")
-        if many.isEmpty():
+        if large is None:
+            large = many
+        if level == depth or many.isEmpty():
             break
-        # Near-duplicates in a large bucket agree in further bands; the one that made the bucket parts nothing.
+        # Most near-duplicates in a large bucket agree in further bands; the one that made the bucket parts nothing.
         again = deal(many.join(signed, "node"), "key").where("band != key").select(F.xxhash64("key", "band").alias("key"), "node")
         members = buckets(again)
+    if not large.isEmpty():
+        test(across(still_mixed(large), in_blocks=True))
     return labels
 
 

@@ -69,6 +69,26 @@ def test_near_copies_of_few_words_are_found(spark):
     assert got == dict(enumerate(brute(texts))) and set(got.values()) == set(range(0, 120, 2))
 
 
+@pytest.mark.parametrize(("small", "depth"), [(3, 1), (3, 4), (100, 4)])
+def test_pairs_that_agree_in_a_large_buckets_band_only_are_found(spark, small, depth):
+    from tessera.llm.common import Scratch
+
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for n in (40, 44, 49, 60):
+        base = [word() for _ in range(n)]
+        texts += [" ".join(base), " ".join([*base, word()])]
+    texts += [" ".join(word() for _ in range(50)) for _ in range(6)]
+    # All agree in one band; in the others, none with any other.
+    signed = spark.createDataFrame([(i, [7, 100 + i, 200 + i]) for i in range(len(texts))], "node long, bands array<long>")
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    with Scratch(spark, "test") as scratch:
+        labels = neardup.link(signed, docs, scratch, words=5, similarity=0.8, small=small, depth=depth)
+        got = {r["node"]: r["class"] for r in labels.collect()}
+    assert got == {i: i // 2 * 2 for i in range(8)}
+
+
 @pytest.mark.parametrize(("shared", "left", "right"), [(4, 0, 1), (12, 0, 3), (20, 0, 5), (60, 4, 11)])
 def test_sketches_differ_as_computed(shared, left, right):
     rng = np.random.default_rng(2)
