@@ -63,6 +63,7 @@ DEPTH = 4
 SPARE = 3.0
 SKETCH = 2_048
 SHORT = 32
+TOGETHER = 500
 MISSED = 1e-4
 EXACT = 64
 MASK = (1 << 64) - 1
@@ -182,9 +183,12 @@ def _signed(words: int, n_bands: int, rows: int):
                 short.append((s[few], which[few] + i, times[few]))
                 key[i:j] = bands(dart_signatures(s[~few], which[~few], times[~few], j - i, n_bands * rows), rows)
             s, which, times = (np.concatenate(x) for x in zip(*short, strict=True)) if short else (np.zeros(0, np.int64),) * 3
-            if len(s):
-                own, which = np.unique(which, return_inverse=True)
-                key[own] = bands(dart_signatures(s, which, times, len(own), n_bands * rows), rows)
+            own, which = np.unique(which, return_inverse=True)
+            # A text throws about as many darts whatever its length, so their number is bounded by that of texts.
+            edges = np.searchsorted(which, np.arange(0, len(own) + TOGETHER, TOGETHER))
+            for n, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                part = own[n * TOGETHER : (n + 1) * TOGETHER]
+                key[part] = bands(dart_signatures(s[i:j], which[i:j] - n * TOGETHER, times[i:j], len(part), n_bands * rows), rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), _list(key.ravel(), np.full(batch.num_rows, n_bands))], names=["node", "bands"])
 
     return work, "node long, bands array<long>"
