@@ -2,14 +2,16 @@
 
 A word's probability in a language is the sum, over all ways to cut it into
 pieces of a fixed public vocabulary, of the product of the pieces'
-probabilities there; a forward algorithm over the word's bytes gives it.  A
-text's is the product over its words.  Piece probabilities come from expectation
+probabilities there; a forward algorithm over the word's bytes gives it, with
+every piece of the vocabulary, however long.  A text's is the product over its
+words.  Piece probabilities come from expectation
 maximisation over the same segmentations, so no single tokenisation is trusted.
 
 Words are runs of letters, lower-cased, with a space before them as in the
-vocabulary.  Runs longer than LONGEST bytes are scored in parts of that length.
-Equal words of a batch are scored once, and each Python worker remembers recent
-ones, so the cost follows the different words.
+vocabulary, of any length: the sums are carried from each SEGMENT bytes to the
+next, so a word without end takes no more memory than its bytes.  Equal words of
+a batch are scored once, and each Python worker remembers recent ones, so the
+cost follows the different words.
 
 The model is fitted on a bounded sample of the labelled rows: about
 ``sample_rows`` per language, taken by a hash of the id.  Language frequencies
@@ -18,7 +20,8 @@ come from all labelled rows.
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 with no labelled row at all every text is; ties go to the first language by
 code point; repeated rows get equal results; a null id is not held out; an empty
-table gives an empty result.
+table gives an empty result; columns of the input named lang_pred or score are
+replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import base64
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -37,13 +41,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, ensure_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-LONGEST = 48
-PIECE = 8
+SEGMENT = 48
+CELLS = 1 << 18
+LANGUAGES = 10_000
 SAMPLE_ROWS = 2_000
 ROUNDS = 3
 FLOOR = 1e-5
 SCALE = 16.0
 REMEMBERED = 100_000
+REMEMBERED_LETTERS = 4_000_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -55,40 +61,51 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Vocabulary:
-    """Pieces of at most PIECE bytes and a hash table from their bytes, packed in a 64-bit number, to their index.
+    """Pieces and a tree of their bytes; a node is numbered, and a hash table leads from (node, byte) to the next.
 
-    Index 0 is no piece.  All single bytes are pieces.
+    Piece 0 is none.  All single bytes are pieces; node 1 + b is that of byte b.
     """
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-        pieces |= {bytes([b]) for b in range(256)}
-        # A longer piece that starts with a zero byte would pack like a shorter one.
-        self.pieces = sorted(p for p in pieces if len(p) <= PIECE and (len(p) == 1 or p[0]))
+        self.pieces = sorted((pieces - {b""}) | {bytes([b]) for b in range(256)})
         self.lengths = np.array([0, *(len(p) for p in self.pieces)])
-        self.bits = max(12, (4 * len(self.pieces)).bit_length())
+        ends, steps = [0] * 257, {}
+        for i, piece in enumerate(self.pieces, 1):
+            node = piece[0] + 1
+            for byte in piece[1:]:
+                step = node << 8 | byte
+                if step not in steps:
+                    steps[step] = len(ends)
+                    ends.append(0)
+                node = steps[step]
+            ends[node] = i
+        self.ends = np.array(ends, np.int32)
+        self.bits = max(12, (4 * len(steps)).bit_length())
         size = 1 << self.bits
-        self.keys, self.index = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-        packed = np.array([int.from_bytes(p, "big") for p in self.pieces], np.uint64)
-        for slot, (key, i) in zip(self._slot(packed).tolist(), zip(packed.tolist(), range(1, len(packed) + 1), strict=True), strict=True):
-            while self.index[slot]:
+        self.keys, self.node = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        packed = np.fromiter(steps, np.uint64, len(steps))
+        for slot, key, node in zip(self._slot(packed).tolist(), steps, steps.values(), strict=True):
+            while self.node[slot]:
                 slot = (slot + 1) % size
-            self.keys[slot], self.index[slot] = key, i
+            self.keys[slot], self.node[slot] = key, node
 
     def _slot(self, packed: np.ndarray) -> np.ndarray:
         return ((packed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, packed: np.ndarray) -> np.ndarray:
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that bytes lead to, 0 where no piece goes on so."""
+        packed = (node.astype(np.uint64) << np.uint64(8)) | byte
         slot = self._slot(packed)
-        found = np.where(self.keys[slot] == packed, self.index[slot], 0)
-        open_ = np.flatnonzero((self.keys[slot] != packed) & (self.index[slot] > 0))
+        found = np.where(self.keys[slot] == packed, self.node[slot], 0)
+        open_ = np.flatnonzero((self.keys[slot] != packed) & (self.node[slot] > 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) % len(self.keys)
             at = slot[open_]
             hit = self.keys[at] == packed[open_]
-            found[open_[hit]] = self.index[at[hit]]
-            open_ = open_[~hit & (self.index[at] > 0)]
+            found[open_[hit]] = self.node[at[hit]]
+            open_ = open_[~hit & (self.node[at] > 0)]
         return found
 
 
@@ -97,76 +114,129 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def lattice(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the words, and for each the piece that starts at a byte and has a length: [word, byte, length - 1]."""
-    length = np.array([len(w) for w in words])
-    longest = int(length.max())
-    joined = np.zeros((len(words), longest + PIECE), np.uint64)
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    joined[np.repeat(np.arange(len(words)), length), np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
-    found = np.zeros((len(words), longest, PIECE), np.int32)
-    packed = np.zeros((len(words), longest), np.uint64)
-    for n in range(PIECE):
-        packed = (packed << np.uint64(8)) | joined[:, n : n + longest]
-        inside = np.arange(longest)[None, :] + n < length[:, None]
-        which = vocab.find(packed[inside])
-        found[:, :, n][inside] = np.where(vocab.lengths[which] == n + 1, which, 0)  # leading zero bytes do not show in a packed number
-    return length, found
-
-
-def forward(length: np.ndarray, pieces: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """[byte, word, language]: summed probability, scaled by SCALE per byte, of all segmentations up to a byte."""
-    n, longest, _ = pieces.shape
-    total = np.zeros((longest + 1, n, chances.shape[1]))
-    total[0] = 1.0
-    for j in range(1, longest + 1):
-        for size in range(1, min(PIECE, j) + 1):
-            which = pieces[:, j - size, size - 1]
-            some = np.flatnonzero(which)
+@dataclass
+class Segment:
+    """The pieces that start in the bytes ``at`` to ``at + width`` of some words.
+
+    By length of the piece: start (from ``at`` on, ascending), word and piece,
+    and where each start's are.  ``reach`` is the greatest length.
+    """
+
+    at: int
+    width: int
+    reach: int
+    pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[int]]]
+
+
+def lattice(words: list[bytes], vocab: Vocabulary) -> Iterator[Segment]:
+    """All pieces that occur in the words, SEGMENT bytes after SEGMENT bytes."""
+    longest, most = max(map(len, words)), int(vocab.lengths.max())
+    for at in range(0, longest, SEGMENT):
+        width = min(SEGMENT, longest - at)
+        parts = [w[at : at + width + most - 1] for w in words]
+        length = np.array([len(x) for x in parts])
+        flat = np.frombuffer(b"".join(parts), np.uint8)
+        before = np.cumsum(length) - length
+        start, word = np.nonzero(np.arange(width)[:, None] < length)
+        node = flat[before[word] + start].astype(np.int64) + 1
+        found = []
+        for size in range(1, most + 1):
+            piece = vocab.ends[node]
+            some = np.flatnonzero(piece)
             if len(some):
-                total[j, some] += total[j - size, some] * chances[which[some]]
-    return total
+                bounds = np.searchsorted(start[some], np.arange(width + 1)).tolist()
+                found.append((size, start[some], word[some], piece[some], bounds))
+            on = np.flatnonzero(start + size < length[word])
+            start, word, node = start[on], word[on], node[on]
+            node = vocab.step(node, flat[before[word] + start + size])
+            on = np.flatnonzero(node)
+            start, word, node = start[on], word[on], node[on]
+            if not len(on):
+                break
+        yield Segment(at, width, found[-1][0], found)
+
+
+def batches_of(words: list[bytes]) -> Iterator[np.ndarray]:
+    """Indexes of words of like length, of CELLS bytes together at most if they are several."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and to - at < 4096 and (to - at + 1) * len(words[order[to]]) <= CELLS:
+            to += 1
+        yield np.array(order[at:to], np.int64)
+        at = to
+
+
+def _rescaled(sums: np.ndarray, scale: np.ndarray) -> None:
+    """Columns of sums brought to a greatest value of 1; ``scale`` takes what they are divided by, as a logarithm."""
+    most = sums.max(axis=0)
+    most[most <= 0] = 1
+    sums /= most
+    scale += np.log(most)
 
 
 def word_scores(words: list[bytes], vocab: Vocabulary, chances: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language."""
+    """Log probability of each word in each language: ``chances`` are those of pieces, times SCALE per byte."""
     out = np.empty((len(words), chances.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), 4096):
-        part = order[at : at + 4096]
-        length, pieces = lattice([words[i] for i in part], vocab)
-        total = forward(length, pieces, chances)[length, np.arange(len(part))]
-        out[part] = np.log(total) - length[:, None] * np.log(SCALE)
+    for part in batches_of(words):
+        length = np.array([len(words[i]) for i in part])
+        sums, scale = np.ones((1, len(part), chances.shape[1])), np.zeros((len(part), chances.shape[1]))
+        for seg in lattice([words[i] for i in part], vocab):
+            # [byte, word, language]: summed probability of all segmentations up to a byte
+            total = np.zeros((max(seg.width + seg.reach, len(sums)), *scale.shape))
+            total[: len(sums)] = sums
+            for s in range(seg.width):
+                for size, _, word, piece, bounds in seg.pieces:
+                    a, b = bounds[s], bounds[s + 1]
+                    if a < b:
+                        total[s + size, word[a:b]] += total[s, word[a:b]] * chances[piece[a:b]]
+            done = np.flatnonzero((length > seg.at) & (length <= seg.at + seg.width))
+            out[part[done]] = np.log(total[length[done] - seg.at, done]) + scale[done] - length[done, None] * np.log(SCALE)
+            sums = total[seg.width :]
+            _rescaled(sums, scale)
     return out
 
 
 def expected_pieces(words: list[bytes], language: np.ndarray, times: np.ndarray, vocab: Vocabulary, chances: np.ndarray) -> np.ndarray:
     """[piece, language]: how often pieces are expected in the words' segmentations (words of equal language share a column)."""
     out = np.zeros(chances.shape)
-    order = np.array(sorted(range(len(words)), key=lambda i: len(words[i])), np.int64)
-    for at in range(0, len(order), 4096):
-        part = order[at : at + 4096]
-        length, pieces = lattice([words[i] for i in part], vocab)
-        n, longest, _ = pieces.shape
-        own = language[part]
-        ahead = np.zeros((longest + 1, n))
-        ahead[0] = 1
-        behind = np.zeros((longest + PIECE + 1, n))
-        behind[length, np.arange(n)] = 1
-        for j in range(1, longest + 1):
-            for size in range(1, min(PIECE, j) + 1):
-                ahead[j] += ahead[j - size] * chances[pieces[:, j - size, size - 1], own]
-        for j in range(longest - 1, -1, -1):
-            for size in range(1, PIECE + 1):
-                behind[j] += behind[j + size] * chances[pieces[:, j, size - 1], own]
-        whole = ahead[length, np.arange(n)]
-        for j in range(longest):
-            for size in range(1, PIECE + 1):
-                which = pieces[:, j, size - 1]
-                some = np.flatnonzero(which)
-                if len(some):
-                    weight = ahead[j, some] * chances[which[some], own[some]] * behind[j + size, some] / whole[some] * times[part[some]]
-                    np.add.at(out, (which[some], own[some]), weight)
+    for part in batches_of(words):
+        own, n = language[part], len(part)
+        length = np.array([len(words[i]) for i in part])
+        segments = list(lattice([words[i] for i in part], vocab))
+        ahead, whole = [], np.zeros(n)
+        sums, scale = np.ones((1, n)), np.zeros(n)
+        for seg in segments:
+            total = np.zeros((max(seg.width + seg.reach, len(sums)), n))
+            total[: len(sums)] = sums
+            for s in range(seg.width):
+                for size, _, word, piece, bounds in seg.pieces:
+                    a, b = bounds[s], bounds[s + 1]
+                    if a < b:
+                        total[s + size, word[a:b]] += total[s, word[a:b]] * chances[piece[a:b], own[word[a:b]]]
+            ahead.append((total[: seg.width].copy(), scale.copy()))
+            done = np.flatnonzero((length > seg.at) & (length <= seg.at + seg.width))
+            whole[done] = np.log(total[length[done] - seg.at, done]) + scale[done]
+            sums = total[seg.width :]
+            _rescaled(sums, scale)
+        sums, scale = np.zeros((1, n)), np.zeros(n)  # from here on of what follows a byte
+        for seg, (before, upto) in zip(reversed(segments), reversed(ahead), strict=True):
+            total = np.zeros((seg.width + max(seg.reach, len(sums)), n))
+            total[seg.width : seg.width + len(sums)] = sums
+            done = np.flatnonzero((length > seg.at) & (length <= seg.at + seg.width))
+            total[length[done] - seg.at, done] = 1
+            for s in reversed(range(seg.width)):
+                for size, _, word, piece, bounds in seg.pieces:
+                    a, b = bounds[s], bounds[s + 1]
+                    if a < b:
+                        total[s, word[a:b]] += total[s + size, word[a:b]] * chances[piece[a:b], own[word[a:b]]]
+            share = np.exp(upto + scale - whole) * times[part]
+            for size, start, word, piece, _ in seg.pieces:
+                weight = before[start, word] * chances[piece, own[word]] * total[start + size, word] * share[word]
+                np.add.at(out, (piece, own[word]), weight)
+            sums = total[: int(vocab.lengths.max())]
+            _rescaled(sums, scale)
     return out
 
 
@@ -178,9 +248,8 @@ def words_of(text: str) -> Counter:
     return words
 
 
-def parts_of(word: str) -> list[bytes]:
-    raw = f" {word}".encode()
-    return [raw] if len(raw) <= LONGEST else [raw[i : i + LONGEST] for i in range(0, len(raw), LONGEST)]
+def spelled(word: str) -> bytes:
+    return f" {word}".encode()
 
 
 class Remembered:
@@ -192,9 +261,11 @@ class Remembered:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.letters = 0
         self.scores = np.zeros((0, self.languages))
 
     def add(self, words: list[str], scores: np.ndarray) -> None:
+        self.letters += sum(map(len, words))
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.scores = np.concatenate([self.scores, scores])
 
@@ -211,14 +282,11 @@ class Model:
         counted = [words_of(t) if t else Counter() for t in texts]
         words = {w for c in counted for w in c}
         new = list(words.difference(memory.place))
-        if len(memory.place) + len(new) > REMEMBERED:
+        if len(memory.place) + len(new) > REMEMBERED or memory.letters > REMEMBERED_LETTERS:
             memory.forget()
             new = list(words)
         if new:
-            parts = [parts_of(w) for w in new]
-            scores = word_scores([p for ps in parts for p in ps], vocabulary(self.path), self.chances)
-            starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-            memory.add(new, np.add.reduceat(scores, starts, axis=0))
+            memory.add(new, word_scores([spelled(w) for w in new], vocabulary(self.path), self.chances))
         names, chances = [], np.zeros(len(texts))
         for i, c in enumerate(counted):
             if not c:
@@ -242,7 +310,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     ensure_columns(docs, id_col, text_col, lang_col)
     path = vocabulary_file or vocabulary_path()
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
+    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect())
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values, which are no languages")
     if not counts:
         return None
     languages, n = [c[0] for c in counts], np.array([c[1] for c in counts], float)
@@ -260,8 +330,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             total: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word, times in words_of(text).items():
-                    for part in parts_of(word):
-                        total[position[lang], part] += times
+                    total[position[lang], spelled(word)] += times
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.binary()), pa.array(list(total.values()), pa.int64())], names=["lang", "word", "times"])
 
     def expect(chances: np.ndarray):

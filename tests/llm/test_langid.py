@@ -17,19 +17,44 @@ def enumerate_segmentations(word, chances):
     index = {p: i for i, p in enumerate(VOCAB.pieces, 1)}
     total = {0: np.ones(chances.shape[1])}
     for j in range(1, len(word) + 1):
-        total[j] = sum((total[i] * chances[index[word[i:j]]] for i in range(max(0, j - langid.PIECE), j) if word[i:j] in index), np.zeros(chances.shape[1]))
+        total[j] = sum((total[i] * chances[index[word[i:j]]] for i in range(max(0, j - int(VOCAB.lengths.max())), j) if word[i:j] in index), np.zeros(chances.shape[1]))
     return total[len(word)]
 
 
 def test_forward_is_the_sum_over_segmentations():
     rng = np.random.default_rng(0)
     chances = np.concatenate([np.zeros((1, 2)), rng.random((len(VOCAB.pieces), 2))])
-    words = [b" the", b" internationalisation", "größe".encode(), b"x", b" \x00\x01"]
-    got = np.exp(langid.word_scores(words, VOCAB, chances) + np.array([len(w) for w in words])[:, None] * np.log(langid.SCALE))
-    want = np.array([enumerate_segmentations(w, chances) for w in words])
+    words = [b" the", b" internationalisation", "größe".encode(), b"x", b" \x00\x01", max(VOCAB.pieces, key=len), b" responsibilities" * 12, ("語" * 70).encode(), b"z" * 48, b"q" * 96]
+    got = langid.word_scores(words, VOCAB, chances) + np.array([len(w) for w in words])[:, None] * np.log(langid.SCALE)
+    want = np.log([enumerate_segmentations(w, chances) for w in words])
     assert np.allclose(got, want)
 
 
+def test_the_whole_vocabulary_counts():
+    assert len(VOCAB.pieces) >= 50_256 and max(map(len, VOCAB.pieces)) > 8
+    for piece in random.Random(2).sample(VOCAB.pieces, 300):
+        (seg,) = langid.lattice([piece], VOCAB)
+        whole = [p for size, start, _, p, _ in seg.pieces if size == len(piece)]
+        assert VOCAB.pieces[whole[0][0] - 1] == piece
+
+
+def test_expected_pieces_do_not_depend_on_segments(monkeypatch):
+    rng = np.random.default_rng(3)
+    chances = np.concatenate([np.zeros((1, 2)), rng.random((len(VOCAB.pieces), 2))])
+    words = [b" characteristically" * 5, b" a", "größenordnung".encode() * 4, b" hello"]
+    args = (words, np.array([0, 1, 1, 0]), np.array([1.0, 2.0, 3.0, 4.0]), VOCAB, chances)
+    parts = langid.expected_pieces(*args)
+    monkeypatch.setattr(langid, "SEGMENT", 1000)
+    assert np.allclose(parts, langid.expected_pieces(*args))
+    assert np.isclose((parts.sum(axis=1) * VOCAB.lengths).sum(), sum(t * len(w) for w, t in zip(words, args[2], strict=True)))
+
+
+def test_a_word_of_many_letters(spark):
+    model = langid.fit(corpus(spark))
+    names, scores = model.score(["bado" * 25_000, "schtumgrolk" * 10_000])
+    assert names == ["aa", "bb"] and np.isfinite(scores).all()
+
+
 def test_expected_pieces_add_up():
     chances = np.concatenate([np.zeros((1, 1)), np.full((len(VOCAB.pieces), 1), 0.3)])
     words, times = [b" hello", b" world"], np.array([2.0, 5.0])
@@ -78,7 +103,7 @@ def test_equal_texts_get_equal_results_whatever_is_remembered(spark):
 def test_words():
     assert langid.words_of("Ab ab, c3d!") == Counter({"ab": 2, "c": 1, "d": 1})
     assert langid.words_of("123 --- ²") == Counter()
-    assert b"".join(langid.parts_of("y" * 100)) == b" " + b"y" * 100
+    assert langid.spelled("y" * 100) == b" " + b"y" * 100
 
 
 def test_awkward_rows(awkward, none, spark):
