@@ -80,6 +80,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name for :func:`pyspark.sql.functions.col`, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_key(text: Column) -> tuple[Column, Column]:
     """128 bits that identify a text, as two longs (fixed width keeps hash aggregation)."""
     return F.xxhash64(text), F.xxhash64(F.lit("tessera"), text)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -36,11 +37,8 @@ def corpus(n):
     return [(i, " ".join(["w"] * (i * 7919 % 23)), [None, "a", "b", "B", "é"][min(4, i * 31 % 9)]) for i in range(n)]
 
 
-@pytest.mark.parametrize(("n", "bin_rows", "bins"), [(60, 20_000, 4096), (300, 5, 8)])
-def test_mix_is_that_of_a_plain_queue(spark, monkeypatch, n, bin_rows, bins):
-    monkeypatch.setattr(mixing, "LAST_BIN_ROWS", bin_rows)
-    monkeypatch.setattr(mixing, "BINS", bins)
-    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 20)
+@pytest.mark.parametrize("n", [60, 300])
+def test_mix_is_that_of_a_plain_queue(spark, n):
     docs = corpus(n)
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     got = mixing.mix(df).select("doc_id", "size", "source_size", "target", "taken").collect()
@@ -65,15 +63,42 @@ def test_targets():
     assert all(s.target <= 3 * s.size for s in found)
 
 
+def taken_of(df, **options):
+    return Counter(mixing.take(df, **options).select("doc_id", "text", "source").collect())
+
+
 def test_the_mix_itself(spark):
-    df = spark.createDataFrame(corpus(80), "doc_id long, text string, source string")
-    mixed = mixing.mix(df)
-    taken = mixing.take(mixed)
-    assert taken.columns == df.columns
-    assert taken.selectExpr("sum(size(split(text, ' ')))").first()[0] == mixed.selectExpr("sum(taken)").first()[0]
+    docs = corpus(80)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    text = {i: (i, t, s) for i, t, s in docs}
+    want = Counter({text[r["doc_id"]]: r["taken"] // r["size"] for r in mixing.mix(df).collect() if r["taken"]})
+    assert taken_of(df) == want and mixing.take(df).columns == df.columns
+
+
+def test_repeated_rows_and_null_ids_in_bulk(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    docs = [(None, "same words here", "a")] * 150 + [(None, f"text {'x ' * (i % 5)}{i}", "b") for i in range(90)] + [(5, "five", "a")] * 60 + corpus(40)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    rows = mixing.mix(df).collect()
+    assert len(rows) == len(docs)
+    spent, target = Counter(), {}
+    for r in rows:
+        spent[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(spent[s] - t) <= 25 for s, t in target.items())
+    out = taken_of(df)
+    assert out == taken_of(df.repartition(3))  # reruns agree, however the rows are dealt
+    words = Counter()
+    for r, n in out.items():
+        words[r["source"]] += n * len(r["text"].split())
+    assert words == +spent
 
 
 def test_awkward_rows(awkward, none):
     rows = mixing.mix(awkward).collect()
-    assert len(rows) == awkward.count() and mixing.mix(none).collect() == [] and mixing.take(mixing.mix(none)).collect() == []
-    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows) and mixing.mix(awkward).first()["key"] == "clash"
+    assert len(rows) == awkward.count() and mixing.mix(none).collect() == [] and mixing.take(none).collect() == []
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    odd = awkward.withColumn("a.b`c", awkward["doc_id"])
+    out = mixing.take(odd).collect()
+    assert mixing.take(odd).columns == odd.columns and {r["key"] for r in out} == {"clash"}
