@@ -8,10 +8,14 @@ by dynamic programming, then rounded down; the few pieces this leaves are
 packed best-fit by decreasing length, on the histogram as well.  So the
 driver's work and memory do not depend on the number of documents.
 
+Prices also bound the number of sequences from below (:func:`lower_bound`, the
+LP's dual), which tells how far a packing is from the best.
+
 Pieces find their place by rank within their length.  Ranks are distributed:
-each length is dealt into as many buckets as its count asks for, buckets are
-ranked inside and offset by the sums before them, so a length that a third of
-all pieces share is no hot group.
+each length is dealt into as many buckets as its count asks for, by a number
+that each piece has of its own, buckets are ranked inside and offset by the sums
+before them, so neither a length that a third of all pieces share nor a text
+that a third of all rows repeat is a hot group.
 
 Defined results: a null or empty text is the one piece [eos]; repeated rows are
 packed separately; an empty table gives an empty result; further input columns
@@ -41,9 +45,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Texts of other characters, or with what may be a special token, are left to the tokenizer itself.
 PLAIN = re.compile("[\\x00-\\u024f\\u2010-\\u2027\\u20ac]*")
 ROUNDS = 500
-RATES = (0.01, 0.05)
+RATES = (0.05, 0.5)
 SPREAD = 0.3
-KEPT = (1.0, 0.5, 0.0)
+KEPT = (1.0, 0.5)
 ROWS_PER_BUCKET = 20_000
 
 
@@ -177,6 +181,16 @@ def solve_lp(counts: np.ndarray, capacity: int, rate: float, rounds: int = ROUND
         found[key] = found.get(key, 0.0) + amount
 
 
+def lower_bound(counts: np.ndarray, capacity: int, prices: np.ndarray | None = None) -> float:
+    """Fewer sequences cannot hold the pieces: what all are worth at ``prices`` (by length; their size if None) over the most that one filling is."""
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return 0.0
+    values = (lengths if prices is None else prices[lengths]).astype(float)
+    filling = best_filling(values, lengths, capacity)
+    return float(counts[lengths] @ values / sum(values[i] * n for i, n in filling.items()))
+
+
 def best_fit(counts: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], int]:
     """Best-fit decreasing on a histogram: filling -> how many sequences. Works on kinds of open sequences, not on pieces."""
     open_: list[dict[tuple[tuple[int, int], ...], int]] = [{} for _ in range(capacity + 1)]
@@ -243,21 +257,21 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, rates: tuple[float, ...]
     """The columns of :func:`pieces`, sequence_id and offset of each piece."""
     spark = docs.sparkSession
     with Scratch(spark, "packing") as scratch:
-        cut = scratch.table(pieces(docs, capacity=capacity, with_ids=with_ids, **options))
+        cut = scratch.table(pieces(docs, capacity=capacity, with_ids=with_ids, **options).withColumn("_nth", F.monotonically_increasing_id()))
         counts = np.zeros(capacity + 1, np.int64)
         for length, n in cut.groupBy("length").count().collect():
             counts[length] = n
         table = places(plan(counts, capacity, rates))
         parts = F.element_at(F.array(*[F.lit(max(1, -(-int(n) // ROWS_PER_BUCKET))) for n in counts]), (F.col("length") + 1).cast("int"))
-        dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts))
+        dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("_nth"), parts))
         before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = dealt.groupBy("length", "_bucket").count().select("length", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-        inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
+        inside = Window.partitionBy("length", "_bucket").orderBy("_nth")
         ranked = dealt.withColumn("_rank", F.row_number().over(inside)).join(offsets, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before") - 1).drop("_bucket", "_before")
-        columns = [c for c in cut.columns if c != "length"]
-        ranked = ranked.select("length", "_rank", *columns)
-        schema = f"{', '.join(f'{n} {t}' for n, t in cut.dtypes)}, sequence_id bigint, offset bigint"
-        names = [n for n, _ in cut.dtypes]
+        kinds = [(n, t) for n, t in cut.dtypes if n != "_nth"]
+        names = [n for n, _ in kinds]
+        ranked = ranked.select("length", "_rank", *[n for n in names if n != "length"])
+        schema = f"{', '.join(f'{n} {t}' for n, t in kinds)}, sequence_id bigint, offset bigint"
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = table["length"] * (1 << 48) + table["rank"]
