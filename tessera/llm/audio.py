@@ -3,9 +3,17 @@
 A payload is kept losslessly as unsigned 8-bit mono PCM in a WAV container.
 Features of the stored samples: polyphase resampling by 5/8, overlapped log-mel
 filterbanks and hysteresis segmentation of the frame energy.  Log-mel values
-come as tensors of one fixed shape, (FRAMES, MELS) of int16 in hundredths of a
-decibel, each with the time span it covers; :func:`tensor_table` gives them
-Arrow's fixed-shape tensor type.
+are tensors of one fixed shape, (FRAMES, MELS) of int16 in hundredths of a
+decibel, each with the time span it covers.
+
+Two tables below a path hold them, both Parquet that Spark writes and reads, so
+they can be in any store:
+
+* ``media``: doc_id, n_bytes, media (:func:`store_media`).
+* ``features``: a row for a slice of documents (:func:`store_features`), with their
+  figures and ``tensors``, an Arrow stream of doc, start, end and tensor, which has
+  Arrow's fixed-shape tensor type; doc is the document's place in the slice.
+  :func:`read_features` and :func:`read_tensors` give them by document and by tensor.
 
 Long payloads are worked through in runs of BLOCK samples with the context that
 filters need, so memory does not follow their length.  Every value is a function
@@ -27,10 +35,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, slices, utf8
+from .common import batch_of, ensure_columns, quoted, slices, utf8
 
 RATE = 16_000
 UP, DOWN = 5, 8
@@ -43,8 +51,13 @@ PAD = 64
 BLOCK = DOWN * HOP * 512  # a multiple of what one hop takes in before resampling
 HIGH_DB, LOW_DB = 3.0, -3.0
 
+SLICE = 1 << 20
 SPAN = "struct<start:double,end:double>"
-SCHEMA = f"doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors array<struct<start:double,end:double,values:array<short>>>, segments array<{SPAN}>, feature string"
+FIGURES = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<{SPAN}>, feature string"
+TENSORS = "doc_id long, start double, end double, tensor array<short>"
+_SLICE = f"documents array<struct<{', '.join(': '.join(f.split(' ', 1)) for f in FIGURES.split(', '))}>>, tensors binary"
+_SPAN = pa.struct([("start", pa.float64()), ("end", pa.float64())])
+_FIGURES = pa.struct([(n, {"array": pa.list_(_SPAN), "string": pa.string(), "long": pa.int64()}[t.split("<")[0]]) for n, t in (f.split(" ") for f in FIGURES.split(", "))])
 
 
 def encode_wav(payload: bytes) -> bytes:
@@ -134,75 +147,119 @@ def segments(energy: np.ndarray) -> list[tuple[float, float]]:
     return [(round(a * HOP / OUT_RATE, 4), round(b * HOP / OUT_RATE, 4)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def features(media: bytes) -> dict:
+def features(media: bytes) -> tuple[dict, np.ndarray, list[tuple[float, float]]]:
+    """Figures of stored media, its tensors (number, FRAMES, MELS) and their time spans."""
     payload = decode_wav(media)
     mel, energy = log_mel(np.frombuffer(payload, np.uint8))
-    tensors = []
-    for i in range(0, len(mel), FRAMES):
-        block = np.full((FRAMES, MELS), FLOOR, np.int16)
-        part = mel[i : i + FRAMES]
-        block[: len(part)] = part
-        tensors.append({"start": round(i * HOP / OUT_RATE, 4), "end": round((i + len(part)) * HOP / OUT_RATE, 4), "values": block.ravel()})
+    tensors = np.full((-(-len(mel) // FRAMES), FRAMES, MELS), FLOOR, np.int16)
+    tensors.reshape(-1, MELS)[: len(mel)] = mel
+    at = lambda frame: round(frame * HOP / OUT_RATE, 4)
+    times = [(at(i), at(min(i + FRAMES, len(mel)))) for i in range(0, len(mel), FRAMES)]
     spans = segments(energy)
-    digest = hashlib.sha256(b"".join(t["values"].tobytes() for t in tensors)).hexdigest()[:16]
+    digest = hashlib.sha256(tensors.tobytes()).hexdigest()[:16]
     mean = ",".join(str(int(v)) for v in np.rint(mel.mean(axis=0)))
     loud = sum(b - a for a, b in spans)
-    return {
+    figures = {
         "payload_bytes": len(payload),
         "payload_sha256": hashlib.sha256(payload).hexdigest(),
         "tail_crc32": zlib.crc32(payload[-PAD:]),
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
-        "tensors": tensors,
         "segments": [{"start": a, "end": b} for a, b in spans],
         "feature": f"logmel{FRAMES}x{MELS}x{len(tensors)}:{digest};segments={len(spans)};loud={loud:.4f};mean={mean}",
     }
+    return figures, tensors, times
 
 
-def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """Store each text as audio, read it back and compute features: see SCHEMA.
-
-    ``with_media=False`` leaves out the stored bytes and the tensors once their
-    digests are taken, for callers that want only those.
-    """
+def store_media(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write each text as audio below ``path``."""
     ensure_columns(docs, id_col, text_col)
-    heavy = ("media", "tensors", "segments")
-    schema = ", ".join(f for f in SCHEMA.split(", ") if with_media or f.split(" ")[0] not in heavy)
-    names = [f.split(" ")[0] for f in schema.split(", ")]
-    types = {
-        "media": pa.binary(),
-        "tensors": pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("values", pa.list_(pa.int16()))])),
-        "segments": pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])),
-    } | {n: pa.string() for n in ("payload_sha256", "media_sha256", "feature")}
-    arrow = pa.schema([(n, types.get(n, pa.int64())) for n in names])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             data, offsets = utf8(batch.column(1))
-            for i, j in slices(offsets, 1 << 20):
-                rows = []
-                for k in range(i, j):
-                    raw = data[offsets[k] : offsets[k + 1]].tobytes()
-                    padded = raw + bytes(-len(raw) % PAD or (0 if raw else PAD))
-                    media = encode_wav(padded)
-                    rows.append({"doc_id": None, "n_bytes": len(raw), "media": media} | features(media))
-                columns = [ids.slice(i, j - i) if n == "doc_id" else pa.array([r[n] for r in rows], arrow.field(n).type) for n in names]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for i, j in slices(offsets, SLICE):
+                raw = [data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)]
+                media = [encode_wav(x + bytes(-len(x) % PAD or (0 if x else PAD))) for x in raw]
+                yield batch_of(schema, batch.column(0).slice(i, j - i), [len(x) for x in raw], media)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(work, schema)
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
+    rows.mapInArrow(work, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(f"{path}/media")
 
 
-def tensor_table(table: pa.Table) -> pa.Table:
-    """One row per tensor of an Arrow table of :func:`media_features`, as ``fixed_shape_tensor``."""
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, n_bytes long, media binary").parquet(f"{path}/media")
+
+
+def _stream(owner: list[int], times: list[tuple[float, float]], tensors: np.ndarray) -> bytes:
+    """Tensors and their spans as an Arrow stream."""
     kind = pa.fixed_shape_tensor(pa.int16(), (FRAMES, MELS))
-    ids, starts, ends, values = [], [], [], []
-    for doc, tensors in zip(table.column("doc_id").to_pylist(), table.column("tensors").to_pylist(), strict=True):
-        for t in tensors:
-            ids.append(doc)
-            starts.append(t["start"])
-            ends.append(t["end"])
-            values.append(np.asarray(t["values"], np.int16))
-    flat = np.concatenate(values) if values else np.zeros(0, np.int16)
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(flat), FRAMES * MELS)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.float64()), "end": pa.array(ends, pa.float64()), "tensor": pa.ExtensionArray.from_storage(kind, storage)})
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), FRAMES * MELS)
+    columns = [pa.array(owner, pa.int32()), pa.array([a for a, _ in times], pa.float64()), pa.array([b for _, b in times], pa.float64()), pa.ExtensionArray.from_storage(kind, storage)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc", "start", "end", "tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def tensors_of(stream: bytes) -> pa.Table:
+    """doc (place in the slice), start, end and tensor, of Arrow's fixed-shape type, of a stored slice."""
+    with pa.ipc.open_stream(stream) as source:
+        return source.read_all()
+
+
+def store_features(media: DataFrame, path: str) -> None:
+    """Compute the features of stored media (doc_id, n_bytes, media) and write them below ``path``."""
+    ensure_columns(media, "doc_id", "n_bytes", "media")
+    schema = pa.schema([("documents", pa.list_(_FIGURES)), ("tensors", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n_bytes, stored = batch.column(0), batch.column(1), batch.column(2)
+            _, offsets = utf8(stored)
+            for i, j in slices(offsets, SLICE):
+                rows, owner, times, tensors = [], [], [], []
+                for k in range(i, j):
+                    figures, values, spans = features(stored[k].as_py())
+                    rows.append({"doc_id": ids[k].as_py(), "n_bytes": n_bytes[k].as_py()} | figures)
+                    owner += [k - i] * len(spans)
+                    times += spans
+                    tensors.append(values)
+                yield batch_of(schema, [rows], [_stream(owner, times, np.concatenate(tensors))])
+
+    rows = media.select("doc_id", "n_bytes", "media").mapInArrow(work, _SLICE)
+    rows.write.option("compression", "zstd").parquet(f"{path}/features")
+
+
+def _slices(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_SLICE).parquet(f"{path}/features")
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """The stored figures, a row for each document: see FIGURES."""
+    return _slices(spark, path).select(F.explode("documents").alias("d")).select("d.*")
+
+
+def read_tensors(spark: SparkSession, path: str) -> DataFrame:
+    """The stored tensors, a row for each, with its document and time span: see TENSORS."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.float64()), ("end", pa.float64()), ("tensor", pa.list_(pa.int16()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, stream in zip(batch.column(0), batch.column(1), strict=True):
+                table = tensors_of(stream.as_py()).combine_chunks()
+                for part in table.to_batches(max_chunksize=4096):
+                    values = part.column("tensor").storage.cast(pa.list_(pa.int16()))
+                    yield pa.RecordBatch.from_arrays([ids.values.take(part.column("doc")), part.column("start"), part.column("end"), values], schema=schema)
+
+    return _slices(spark, path).select(F.col("documents.doc_id").alias("ids"), "tensors").mapInArrow(work, TENSORS)
+
+
+def media_features(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store texts as audio below ``path``, read them back, store their features and give the stored figures: see FIGURES."""
+    spark = docs.sparkSession
+    store_media(docs, path, id_col=id_col, text_col=text_col)
+    store_features(read_media(spark, path), path)
+    return read_features(spark, path)

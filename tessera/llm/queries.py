@@ -43,7 +43,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_features(_table(spark, sf_dir, "documents"), with_media=False)
+    with Scratch(spark, "audio") as scratch:
+        figures = audio.media_features(_table(spark, sf_dir, "documents"), scratch.path())
+        return scratch.keep(figures.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
