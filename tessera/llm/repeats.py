@@ -16,8 +16,11 @@ Equal strings meet in four steps, none of which needs the corpus in one place:
    suffix array (:mod:`.suffixes`) over content-defined phrases, and neighbours
    in it tell which windows repeat.
 4. Where more than ``crowd`` different runs share a minimizer (a passage in very
-   many texts), their windows are dealt by digest instead, so no task holds
-   such a group.  That way is exact as well.
+   many texts), the group is split, not sorted in one task: a run's windows fall
+   into those that begin nearer to the minimizer and those that begin farther
+   from it, and each half has a longer string in common, by which it is dealt
+   anew (:func:`_crowded`).  Halves go on being halved until no group is too
+   large for 3., which decides here too.
 
 Passages can be counted in words as well (:func:`word_spans`): each word becomes
 a code of WORD bytes, and equal strings of codes are found in the same way.
@@ -31,6 +34,7 @@ gives an empty result; further columns are ignored by :func:`report` and kept by
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +50,7 @@ SPAN = 400
 GRAM = 128
 CROWD = 2_000
 CHUNK = 1 << 19
+PLACE = 20
 BLOCK = 1 << 19
 TRIGGER = 8
 PHRASE = 32
@@ -55,6 +60,7 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 RUN = "h long, d1 long, d2 long, t1 long, t2 long, starts array<long>, windows int, mark int"
 _RUN = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("starts", pa.list_(pa.int64())), ("windows", pa.int32()), ("mark", pa.int32())])
+HALF = "h long, d1 long, d2 long, shift int, mark int, bytes binary, first int, low int, high int, group long, e1 long, e2 long"
 _RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
@@ -114,7 +120,10 @@ def runs(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[n
     if not total:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     hashed = Hashes(data).grams(gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    if n >> PLACE:
+        raise ValueError(f"runs are cut of at most {1 << PLACE} bytes at a time")
+    # A fixed number of bits, so that equal windows choose alike whatever stands around them.
+    bits = np.uint64(PLACE)
     # Hash above, place below: ties go to the leftmost, which equal windows agree on.
     keys = (hashed >> bits << bits) | np.arange(len(hashed), dtype=np.uint64)
     keys = np.concatenate([keys, np.full(-len(keys) % w, np.iinfo(np.uint64).max)]).reshape(-1, w)
@@ -175,7 +184,7 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray, s
     contains.  Phrases begin there and where the hash of TRIGGER bytes says so,
     so equal windows are cut alike.  The suffix array of the phrase sequence
     brings windows together that agree from their first phrase on; what they
-    have before it is compared by hash.
+    have before it is looked up by hash and compared.
     """
     n = len(data)
     flags = np.zeros(n, bool)
@@ -226,8 +235,17 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray, s
         chosen = by_before[a:b]
         cluster = np.cumsum(common < span - r)[place[phrase[chosen]]].astype(np.uint64)
         key = _mixed(hashes.at(window[chosen], r) + cluster * np.uint64(0xD1B54A32D192ED03)) if r else cluster
-        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
-        flags[window[chosen[times[which] > 1]]] = True
+        _, sample, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(times[which] > 1)
+        for i in range(0, len(again), 1 + (1 << 22) // max(r, 1)):
+            part = again[i : i + 1 + (1 << 22) // max(r, 1)]
+            here, there = (data[window[chosen[x]][:, None] + np.arange(r)] for x in (part, sample[which[part]]))
+            if (here != there).any():  # two strings of one hash: the bytes themselves are the key
+                exact = [(raw[w : w + r], c) for w, c in zip(window[chosen].tolist(), cluster.tolist(), strict=True)]
+                seen = Counter(exact)
+                again = np.flatnonzero([seen[x] > 1 for x in exact])
+                break
+        flags[window[chosen[again]]] = True
     return flags
 
 
@@ -242,26 +260,26 @@ def _ranges(flags: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), items)
 
 
-def _sort_blocks(span: int):
-    """Rows (h, d1, d2, mark, bytes) sorted by h, in blocks of whole groups."""
-    schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("ranges", _RANGES)])
+def _sort_blocks(span: int, named: str):
+    """Rows (group, the columns ``named``, mark, bytes) sorted by group, in blocks of whole groups; gives ``named`` and ranges."""
+    names = [c.split()[0] for c in named.split(", ")]
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         data, offsets = utf8(rows.column("bytes").combine_chunks())
         flags = repeated_windows(data, offsets, rows.column("mark").to_numpy().astype(np.int64), span)
-        return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in ("h", "d1", "d2")), _ranges(flags, offsets).cast(_RANGES)], schema=schema)
+        return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in names), _ranges(flags, offsets).cast(_RANGES)], names=[*names, "ranges"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            h = table.column("h").to_numpy()
+            group = table.column("group").to_numpy()
             _, offsets = utf8(batch.column(batch.schema.get_field_index("bytes")))
             at = 0
-            while at < len(h):
+            while at < len(group):
                 # up to the first change of group after a block's worth of bytes
                 full = int(np.searchsorted(offsets, offsets[at] + max(0, BLOCK - sum(t.nbytes for t in held)), "left"))
-                change = np.flatnonzero(h[max(full, at + 1) :] != h[max(full, at + 1) - 1 : -1])
+                change = np.flatnonzero(group[max(full, at + 1) :] != group[max(full, at + 1) - 1 : -1])
                 if not len(change):
                     held.append(table.slice(at))
                     break
@@ -271,7 +289,7 @@ def _sort_blocks(span: int):
         if held:
             yield solve(pa.concat_tables(held))
 
-    return work, "h long, d1 long, d2 long, ranges array<struct<a:int,b:int>>"
+    return work, f"{named}, ranges array<struct<a:int,b:int>>"
 
 
 # ---- DataFrames ---------------------------------------------------------------------------------
@@ -307,23 +325,65 @@ def _run_bytes(span: int, step: int):
     return work, "h long, d1 long, d2 long, mark int, bytes binary, first int"
 
 
-def _windows(span: int, step: int):
-    """Rows (h, d1, d2, mark, bytes, first) to a row for each ``step``-th window: h, d1, d2, window, w1, w2."""
-    schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("window", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+def _halves(span: int, step: int):
+    """Rows of HALF without group, e1 and e2 to those of their two halves that hold windows."""
+    fields = [("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shift", pa.int32()), ("mark", pa.int32()), ("bytes", pa.binary()), ("first", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]
+    schema = pa.schema([*fields, ("group", pa.int64()), ("e1", pa.int64()), ("e2", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(4))
-            for i, j in slices(offsets, 1 << 18):
-                first = batch.column(5).to_numpy()[i:j]
-                counts = np.maximum(0, (np.diff(offsets[i : j + 1]) - span - first) // step + 1)
-                owner = np.repeat(np.arange(i, j), counts)
-                window = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * step + np.repeat(first, counts)
-                start = offsets[owner] + window
-                digest = _digests(data[offsets[i] : offsets[j]], start - offsets[i], start - offsets[i] + span)
-                yield batch_of(schema, *(batch.column(c).to_numpy()[owner] for c in range(3)), window.astype(np.int32), digest[:, 0].copy(), digest[:, 1].copy())
-
-    return work, "h long, d1 long, d2 long, window int, w1 long, w2 long"
+            key = [batch.column(c).to_numpy() for c in ("h", "d1", "d2")]
+            shift, mark, first, low, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("shift", "mark", "first", "low", "high"))
+            data, offsets = utf8(batch.column("bytes"))
+            raw = data.tobytes()
+            least = mark - (np.diff(offsets) - span)
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                top, bottom = np.minimum(b, mark), np.maximum(a, least)
+                begin = (first - (mark - top)) % step
+                some = np.flatnonzero((a <= b) & (begin <= top - bottom))
+                at = (offsets[:-1] + mark)[some]
+                own = [raw[x:y] for x, y in zip((at - top[some]).tolist(), (at - bottom[some] + span).tolist(), strict=True)]
+                common = [b"%d " % n + raw[x:y] for n, x, y in zip(a[some].tolist(), (at - a[some]).tolist(), (at - b[some] + span).tolist(), strict=True)]
+                group = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=8).digest() for x in common]), np.int64)
+                same = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in own]), np.int64).reshape(-1, 2)
+                numbers = [x.astype(np.int32) for x in ((shift + mark - top)[some], top[some], begin[some], a[some], b[some])]
+                yield batch_of(schema, *(k[some] for k in key), *numbers[:2], pa.array(own, pa.binary()), *numbers[2:], group, same[:, 0].copy(), same[:, 1].copy())
+
+    return work, HALF
+
+
+def _crowded(runs_: DataFrame, scratch: Scratch, *, span: int, gram: int, crowd: int, step: int) -> DataFrame:
+    """h, d1, d2, ranges of runs (h, d1, d2, mark, bytes, first) of which too many share a minimizer.
+
+    The windows that begin ``low`` to ``high`` bytes before the minimizer have
+    the bytes in common that lie in all of them; the narrower that range, the
+    more there are, so halving it parts a group until only equal windows are
+    left together.  Halves that are alone in their group go, equal ones become
+    one, and groups of up to ``crowd`` different ones are sorted.  A row brings
+    two at most for each halving, of which there are as many as the range has bits.
+    """
+    work, schema = _halves(span, step)
+    sort, sorted_schema = _sort_blocks(span, "h long, d1 long, d2 long, shift int")
+    kind, key = ["group", "e1", "e2"], ["h", "d1", "d2"]
+    moved = F.transform("ranges", lambda x: F.struct((F.col("shift") + x["a"]).alias("a"), (F.col("shift") + x["b"]).alias("b")))
+    whole = F.array(F.struct(F.col("shift").alias("a"), (F.col("shift") + F.octet_length("bytes") - span).alias("b")))
+    found: DataFrame | None = None
+    rows = runs_.select(*key, F.lit(0).alias("shift"), "mark", "bytes", "first", F.lit(0).alias("low"), F.lit(span - gram).alias("high"))
+    plain = rows.columns
+    while True:
+        rows = scratch.table(rows.mapInArrow(work, schema))
+        kinds = scratch.table(rows.groupBy(*kind).agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in plain]))
+        several = rows.join(kinds.where("times > 1").select(*kind), kind).select(*key, whole.alias("ranges"))
+        width = kinds.groupBy("group").count().where("count > 1")
+        few = kinds.join(width.where(F.col("count") <= crowd).select("group"), "group").select("group", *key, "shift", "mark", "bytes")
+        alike = few.repartition("group").sortWithinPartitions("group").mapInArrow(sort, sorted_schema).where(F.size("ranges") > 0).select(*key, moved.alias("ranges"))
+        here = several.unionByName(alike)
+        found = scratch.table(here if found is None else found.unionByName(here))
+        crowds = scratch.table(width.where(F.col("count") > crowd).select("group"))
+        if crowds.isEmpty():
+            return found
+        rows = kinds.join(crowds, "group", "left_semi").select(*plain)
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD, step: int = 1) -> DataFrame:
@@ -351,19 +411,16 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram
 
     width = kinds.groupBy("h").count().where("count > 1")
     mixed = kinds.join(width, "h")
-    wanted = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "d1", "d2", "start", "windows", "mark")).alias("wanted"), F.max(F.col("count") > crowd).alias("crowded"))
+    wanted = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "d1", "d2", "start", "windows", "mark")).alias("wanted"))
     work, schema = _run_bytes(span, step)
     content = scratch.table(long_.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(work, schema))
     crowds = width.where(F.col("count") > crowd).select("h")
-    work, schema = _sort_blocks(span)
-    sorted_ = content.join(crowds, "h", "left_anti").select(*key, "mark", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(work, schema)
+    work, schema = _sort_blocks(span, "h long, d1 long, d2 long")
+    grouped = content.join(crowds, "h", "left_anti").select(F.col("h").alias("group"), *key, "mark", "bytes")
+    sorted_ = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(work, schema)
     found = several.unionByName(sorted_.where(F.size("ranges") > 0))
     if not crowds.isEmpty():
-        work, schema = _windows(span, step)
-        windows = scratch.table(content.join(crowds, "h", "left_semi").select(*key, "mark", "bytes", "first").mapInArrow(work, schema))
-        again = windows.groupBy("w1", "w2").count().where("count > 1").drop("count")
-        places = windows.join(again, ["w1", "w2"]).groupBy(*key).agg(F.collect_list("window").alias("w"))
-        found = found.unionByName(places.select(*key, F.transform("w", lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("ranges")))
+        found = found.unionByName(_crowded(content.join(crowds, "h", "left_semi"), scratch, span=span, gram=gram, crowd=crowd, step=step))
     found = scratch.table(found)
 
     at = F.flatten(F.transform("starts", lambda s: F.transform("ranges", lambda x: F.struct((s + x["a"]).alias("start"), (s + x["b"] + span).alias("stop")))))
