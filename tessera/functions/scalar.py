@@ -238,6 +238,23 @@ def _wrap(name: str) -> Callable[[list[str]], str]:
 
 
 #: What calls become; names not listed are Spark's own.
+def blankable(x: str) -> str:
+    """A value as text, for comparing with the blank one: blank cells of number columns are NULL, those of text columns blank."""
+    return f"(CASE WHEN typeof({x}) = 'string' THEN CAST({x} AS STRING) ELSE coalesce(CAST({x} AS STRING), '') END)"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def folded(a: list[str]) -> str:
+    """In lower case, as far as letters of ASCII go."""
+    return f"translate({_text(a[0])}, '{_UPPER}', '{_LOWER}')"
+
+
+def _char(a: list[str]) -> str:
+    return "concat(" + ", ".join(f"decode(unhex(lpad(hex(CAST({x} AS BIGINT)), 8, '0')), 'UTF-32')" for x in a) + ")"
+
+
 TEMPLATES: dict[str, Callable[[list[str]], str]] = {
     "julianday": julianday,
     "strftime": strftime,
@@ -247,7 +264,10 @@ TEMPLATES: dict[str, Callable[[list[str]], str]] = {
     "unixepoch": lambda a: f"({_micros(moment_of(a))} div 1000000)",
     "substr": substr,
     "substring": substr,
-    "iif": _wrap("if"),
+    "iif": lambda a: f"if(CAST({a[0]} AS BOOLEAN), {', '.join(a[1:]) if len(a) > 2 else a[1] + ', NULL'})",
+    "lower": folded,
+    "upper": lambda a: f"translate({_text(a[0])}, '{_LOWER}', '{_UPPER}')",
+    "char": _char,
     "total": lambda a: f"coalesce(CAST(sum({a[0]}) AS DOUBLE), 0D)",
     "max": _extreme("max"),
     "min": _extreme("min"),

@@ -107,6 +107,12 @@ QUERIES: dict[str, Query] = {
     "null_coalesce": Query("SELECT o.o_orderkey, COALESCE(l.q, 0.0) AS q, IFNULL(l.q, -1.0) AS r, NULLIF(o.o_orderstatus, 'F') AS s FROM orders o LEFT JOIN (SELECT l_orderkey, SUM(l_quantity) AS q FROM lineitem WHERE l_quantity > 45 GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey"),
     "is_null": Query("SELECT COUNT(*) AS n FROM (SELECT NULLIF(o_orderstatus, 'F') AS s FROM orders) WHERE s IS NULL", "SELECT COUNT(*) AS n FROM (SELECT NULLIF(o_orderstatus, 'F') AS s FROM orders) t WHERE s IS NULL"),
     "empty_string": Query("SELECT COUNT(*) AS n FROM customer WHERE c_acctbal != '' AND c_name != ''", "SELECT COUNT(*) AS n FROM customer WHERE CAST(c_acctbal AS VARCHAR) <> '' AND c_name <> ''"),
+    "empty_string_left_join": Query(
+        "SELECT c.c_custkey FROM customer c LEFT JOIN (SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 300000) o ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = '' OR '' = o.o_orderstatus OR o.o_orderstatus IN ('', 'F')",
+        "SELECT c.c_custkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 300000 AND o.o_orderstatus IN ('', 'F')",
+    ),
+    "like_backslash": Query("SELECT COUNT(*) AS n FROM nation WHERE n_name || '\\x' LIKE '%\\X' AND n_name NOT LIKE 'Ä%'", "SELECT COUNT(*) AS n FROM nation"),
+    "iif_number": Query("SELECT n_nationkey, IIF(n_regionkey, 'some', 'none') AS r FROM nation", "SELECT n_nationkey, CASE WHEN n_regionkey <> 0 THEN 'some' ELSE 'none' END AS r FROM nation"),
     "case_bucket": Query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'small' END AS bucket FROM orders"),
     "bit_ops": Query("SELECT p_partkey, p_size & 7 AS a, p_size | 8 AS b, p_size << 2 AS c, p_size >> 1 AS d FROM part"),
     "quoted_names": Query("SELECT [n_nationkey] AS [key], \"n_name\" AS \"name\", `n_regionkey` AS r FROM [nation]", "SELECT n_nationkey AS \"key\", n_name AS name, n_regionkey AS r FROM nation"),
@@ -115,7 +121,7 @@ QUERIES: dict[str, Query] = {
         "SELECT c_custkey, CAST(LENGTH(c_name) AS BIGINT) AS len, UPPER(c_mktsegment) AS up, LOWER(c_name) AS low, SUBSTR(c_name, 1, 4) AS head, SUBSTR(c_name, -3) AS tail, CAST(INSTR(c_name, '#') AS BIGINT) AS at, REPLACE(c_name, '0', '') AS no_zero, c_mktsegment || '-' || c_nationkey AS both, TRIM(c_name, 'C') AS trimmed FROM customer",
         "SELECT c_custkey, length(c_name) AS len, upper(c_mktsegment) AS up, lower(c_name) AS low, substr(c_name, 1, 4) AS head, substr(c_name, -3) AS tail, instr(c_name, '#') AS at, replace(c_name, '0', '') AS no_zero, c_mktsegment || '-' || c_nationkey AS both, trim(c_name, 'C') AS trimmed FROM customer",
     ),
-    "string_more": Query("SELECT p_partkey, LTRIM(p_brand, 'B') AS l, RTRIM(p_brand, '123') AS r, CHAR(65, 66) AS c, SUBSTR(p_name, 0, 3) AS z FROM part".replace("CHAR(65, 66)", "CHAR(65)"), "SELECT p_partkey, ltrim(p_brand, 'B') AS l, rtrim(p_brand, '123') AS r, chr(65) AS c, substr(p_name, 1, 2) AS z FROM part"),
+    "string_more": Query("SELECT p_partkey, LTRIM(p_brand, 'B') AS l, RTRIM(p_brand, '123') AS r, CHAR(65, 66) AS c, SUBSTR(p_name, 0, 3) AS z FROM part", "SELECT p_partkey, ltrim(p_brand, 'B') AS l, rtrim(p_brand, '123') AS r, chr(65) || chr(66) AS c, substr(p_name, 1, 2) AS z FROM part"),
     "math_fns": Query("SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount), 4) AS net, ABS(l_quantity - 25) AS away, CAST(l_orderkey % 7 AS BIGINT) AS m FROM lineitem"),
     "math_more": Query("SELECT p_partkey, SQRT(p_size) AS s, ROUND(LOG(p_size), 9) AS l, POW(p_size, 2) AS p, MAX(p_size, 25) AS hi, MIN(p_size, 25) AS lo FROM part", "SELECT p_partkey, sqrt(p_size) AS s, round(log10(p_size), 9) AS l, pow(p_size, 2) AS p, greatest(p_size, 25) AS hi, least(p_size, 25) AS lo FROM part"),
     "int_division": Query("SELECT o_orderkey, CAST(o_orderkey / 7 AS BIGINT) AS q, o_totalprice / 2 AS h FROM orders", "SELECT o_orderkey, CAST(o_orderkey // 7 AS BIGINT) AS q, o_totalprice / 2 AS h FROM orders"),
@@ -182,6 +188,14 @@ QUERIES: dict[str, Query] = {
     "dml_update": Query(_changed("UPDATE customer SET c_acctbal = c_acctbal + 100, c_mktsegment = 'X' WHERE c_nationkey = 3 OR c_acctbal < 0", result="SELECT c_custkey, c_acctbal, c_mktsegment FROM customer"), "SELECT c_custkey, CASE WHEN c_nationkey = 3 OR c_acctbal < 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey = 3 OR c_acctbal < 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
     "dml_update_subquery": Query(_changed("UPDATE nation SET n_name = 'none' WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)", result="SELECT n_nationkey, n_name FROM nation"), "SELECT n_nationkey, CASE WHEN n_nationkey NOT IN (SELECT s_nationkey FROM supplier) THEN 'none' ELSE n_name END AS n_name FROM nation"),
     "dml_insert_select": Query(_changed("CREATE TABLE totals (segment TEXT, n INTEGER, total REAL)", "INSERT INTO totals SELECT c_mktsegment, COUNT(*), ROUND(SUM(c_acctbal), 2) FROM customer GROUP BY c_mktsegment", "INSERT INTO totals (segment, n) VALUES ('none', 0), ('all', 1)", result="SELECT segment, n, total FROM totals"), "SELECT c_mktsegment AS segment, COUNT(*) AS n, ROUND(SUM(c_acctbal), 2) AS total FROM customer GROUP BY 1 UNION ALL SELECT 'none', 0, NULL UNION ALL SELECT 'all', 1, NULL"),
+    "dml_insert_or_replace": Query(
+        _changed("CREATE TABLE best (c INTEGER PRIMARY KEY, total REAL NOT NULL)", "INSERT INTO best SELECT o_custkey, MIN(o_totalprice) FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey", "INSERT OR REPLACE INTO best SELECT o_custkey, MAX(o_totalprice) FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey", "INSERT OR IGNORE INTO best SELECT o_custkey, 0.0 FROM orders", result="SELECT c, total FROM best"),
+        "SELECT o_custkey AS c, CASE WHEN o_custkey % 3 = 0 THEN MAX(o_totalprice) WHEN o_custkey % 2 = 0 THEN MIN(o_totalprice) ELSE 0.0 END AS total FROM orders GROUP BY o_custkey",
+    ),
+    "dml_savepoint": Query(
+        _changed("BEGIN", "UPDATE nation SET n_regionkey = 9 WHERE n_nationkey < 5", "SAVEPOINT one", "DELETE FROM nation", "ROLLBACK TO one", "UPDATE nation SET n_name = 'x' WHERE n_nationkey = 0", "RELEASE one", "COMMIT", result="SELECT n_nationkey, n_name, n_regionkey FROM nation"),
+        "SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN 'x' ELSE n_name END AS n_name, CASE WHEN n_nationkey < 5 THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation",
+    ),
     "dml_delete": Query(_changed("DELETE FROM orders WHERE o_totalprice < 50000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)", result="SELECT o_orderkey FROM orders"), "SELECT o_orderkey FROM orders WHERE NOT (o_totalprice < 50000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5))"),
     "dml_rollback": Query(_rolled_back, "SELECT COUNT(*) AS n, ROUND(SUM(c_acctbal), 2) AS total FROM customer"),
     "view_follows_table": Query(_changed("CREATE VIEW rich AS SELECT c_custkey FROM customer WHERE c_acctbal > 5000", "DELETE FROM customer WHERE c_custkey % 2 = 0", result="SELECT c_custkey FROM rich"), "SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_custkey % 2 <> 0"),

@@ -64,6 +64,8 @@ class FileSession:
         self._tables: dict[str, DataFrame] = {}
         self._views: dict[str, list[Token]] = {}
         self._defaults: dict[str, dict[str, str]] = {}
+        self._constraints: dict[str, changes.Constraints] = {}
+        self._savepoints: list[tuple[str, tuple, bool]] = []
         self._changes: dict[str, int] = {}
         self._origins = origins or {}
         self._autosave = autosave
@@ -113,6 +115,7 @@ class FileSession:
     def _drop(self, name: str) -> None:
         self._tables.pop(name, None)
         self._views.pop(name, None)
+        self._constraints.pop(name, None)
         self.spark.sql(f"DROP VIEW IF EXISTS {quoted(name)}")
 
     def _catalog(self) -> None:
@@ -169,8 +172,14 @@ class FileSession:
             self.begin()
         elif word in ("COMMIT", "END"):
             self.commit()
+        elif word == "ROLLBACK" and any(t.word == "TO" for t in tokens):
+            self.rollback_to(tokens[-1].value)
         elif word == "ROLLBACK":
             self.rollback()
+        elif word == "SAVEPOINT":
+            self.savepoint(tokens[-1].value)
+        elif word == "RELEASE":
+            self.release(tokens[-1].value)
         elif word not in ("ANALYZE", "VACUUM", "REINDEX"):
             raise SqlError(f"unsupported statement: {tokens[0].raw}")
         return self._nothing()
@@ -201,13 +210,13 @@ class FileSession:
         except (AnalysisException, ParseException) as e:
             if "MISSING_AGGREGATION" in str(e) or "MISSING_GROUP_BY" in str(e):
                 return self._spark_error(self._text(group_bare_columns(tokens)), args)
-            raise SqlError(str(e).splitlines()[0]) from e
+            raise SqlError(first_line(e)) from e
 
     def _spark_error(self, text: str, args) -> DataFrame:
         try:
             return self._call(text, args)
         except (AnalysisException, ParseException) as e:
-            raise SqlError(str(e).splitlines()[0]) from e
+            raise SqlError(first_line(e)) from e
 
     def _call(self, text: str, args) -> DataFrame:
         if isinstance(args, dict):
@@ -322,8 +331,76 @@ class FileSession:
         value = lambda c: given[c] if c in given else F.expr(defaults[c]) if c in defaults else F.lit(None)
         new = new.select(*[value(c).alias(f.name) for c, f in fields.items()])
         table, new = self._fitted(table, new)
+        table, new = self._constrained(name, table, new, statement.conflict)
         self._put(name, table.unionByName(new), changed=True)
 
+    def _constrained(self, name: str, table: DataFrame, new: DataFrame, conflict: str) -> tuple[DataFrame, DataFrame]:
+        """The table and new rows as far as the table's constraints and the statement's conflict clause let them stand."""
+        rules = self._constraints.get(name)
+        if not rules:
+            return table, new
+        column = lambda c: F.col(quoted(c))
+        if rules.auto:
+            known = table.agg(F.max(column(rules.auto))).first()[0]
+            known = max(known or 0, new.agg(F.max(column(rules.auto))).first()[0] or 0)
+            given = numbered(new.where(column(rules.auto).isNull())).withColumn(rules.auto, F.col("rowid") + known).drop("rowid")
+            new = new.where(column(rules.auto).isNotNull()).unionByName(given.select(*[column(c).cast(new.schema[c].dataType).alias(c) for c in new.columns]))
+        # Numbers that tell earlier rows from later ones must not change between uses.
+        path = f"{Storage(self.spark).shared_folder()}/new"
+        new.withColumn("_tessera_nth", F.monotonically_increasing_id()).write.parquet(path)
+        new = self.spark.read.parquet(path)
+        new = new.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields], "_tessera_nth")
+
+        def refuse(bad: DataFrame, what: str) -> None:
+            if not bad.isEmpty():
+                raise SqlError(f"{what} constraint failed: {name}")
+
+        for c in rules.not_null:
+            if conflict != "IGNORE":
+                refuse(new.where(column(c).isNull()), f"NOT NULL of {c}")
+            new = new.where(column(c).isNotNull())
+        for check in rules.checks:
+            text = self._text(list(check))
+            holds = F.coalesce(F.expr(text).cast("boolean"), F.lit(True))
+            if conflict != "IGNORE":
+                refuse(new.where(~holds), f"CHECK ({text})")
+            new = new.where(holds)
+        for key in rules.keys:
+            whole = F.lit(True)
+            for c in key:
+                whole = whole & column(c).isNotNull()  # NULLs differ from each other
+            keyed, free = new.where(whole), new.where(~whole)
+            names = list(key)
+            if conflict not in ("REPLACE", "IGNORE"):
+                refuse(keyed.groupBy(*[quoted(c) for c in names]).count().where("count > 1"), f"UNIQUE of {', '.join(key)}")
+                refuse(keyed.join(table.select(*[quoted(c) for c in names]), names, "left_semi"), f"UNIQUE of {', '.join(key)}")
+                continue
+            chosen = keyed.groupBy(*[quoted(c) for c in names]).agg((F.max if conflict == "REPLACE" else F.min)("_tessera_nth").alias("_tessera_nth"))
+            keyed = keyed.join(chosen.select("_tessera_nth"), "_tessera_nth", "left_semi")
+            if conflict == "REPLACE":
+                table = table.join(keyed.select(*[quoted(c) for c in names]), names, "left_anti").select(*[column(c) for c in table.columns])
+            else:
+                keyed = keyed.join(table.select(*[quoted(c) for c in names]), names, "left_anti")
+            new = keyed.select(*[column(c) for c in new.columns]).unionByName(free)
+        return table, new.drop("_tessera_nth")
+
+    def _kept_constraints(self, name: str, table: DataFrame, changed: set[str]) -> None:
+        """An error if the rows of a table, after a change of some columns, break its constraints."""
+        rules = self._constraints.get(name)
+        if not rules:
+            return
+        for c in rules.not_null:
+            if c.lower() in changed and not table.where(F.col(quoted(c)).isNull()).isEmpty():
+                raise SqlError(f"NOT NULL of {c} constraint failed: {name}")
+        for check in rules.checks:
+            if not table.where(~F.coalesce(F.expr(self._text(list(check))).cast("boolean"), F.lit(True))).isEmpty():
+                raise SqlError(f"CHECK constraint failed: {name}")
+        for key in rules.keys:
+            if changed & {c.lower() for c in key}:
+                whole = table.dropna(subset=list(key))
+                if not whole.groupBy(*[quoted(c) for c in key]).count().where("count > 1").isEmpty():
+                    raise SqlError(f"UNIQUE of {', '.join(key)} constraint failed: {name}")
+
     @staticmethod
     def _fitted(table: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Both with common column types: those of the table, wider where a value would not fit."""
@@ -389,6 +466,7 @@ class FileSession:
                 new = self._spark_error(f"SELECT {', '.join(columns)} FROM {quoted(name)}{alias}", values[0])
         finally:
             table.createOrReplaceTempView(quoted(name))
+        self._kept_constraints(name, new, {c.lower() for c, _ in statement.assignments})
         self._put(name, new, changed=True)
 
     def _update_with_args(self, name: str, alias: str, table: DataFrame, statement: changes.Update, test: str | None, args: list) -> DataFrame:
@@ -449,6 +527,7 @@ class FileSession:
         if rest[0].word == "AS":
             return self._put(name, self._run(rest[1:], args))
         columns = changes.parse_columns(rest[1 : closing(rest, 0)])
+        self._constraints[name] = changes.parse_constraints(rest[1 : closing(rest, 0)])
         self._defaults[name] = {c.name.lower(): self._text(list(c.default)) for c in columns if c.default}
         self._put(name, self.spark.createDataFrame([], ", ".join(f"{quoted(c.name)} {c.type}" for c in columns)))
 
@@ -470,7 +549,10 @@ class FileSession:
         table = self._tables[name]
         verb, rest = rest[0].word, rest[1:]
         if verb == "RENAME" and rest[0].word == "TO":
+            rules, defaults = self._constraints.pop(name, None), self._defaults.pop(name, None)
             self._drop(name)
+            if rules is not None:
+                self._constraints[rest[1].value], self._defaults[rest[1].value] = rules, defaults or {}
             self._origins[rest[1].value] = self._origins.pop(name, "")
             return self._put(rest[1].value, table)
         if rest and rest[0].word == "COLUMN":
@@ -491,23 +573,56 @@ class FileSession:
         self._open()
         if self._saved is not None:
             raise SqlError("cannot start a transaction within a transaction")
-        self._saved = (dict(self._tables), dict(self._views), dict(self._defaults))
+        self._saved = self._state()
+
+    def _state(self) -> tuple:
+        return dict(self._tables), dict(self._views), dict(self._defaults), dict(self._constraints)
 
     def commit(self) -> None:
         if self._saved is None:
             raise SqlError("no transaction is active")
-        self._saved = None
+        self._saved, self._savepoints = None, []
         if self._autosave is not None and self._autosave.on_commit:
             self._save()
 
     def rollback(self) -> None:
         if self._saved is None:
             raise SqlError("no transaction is active")
-        tables, views, self._defaults = self._saved
-        self._saved = None
+        saved, self._saved, self._savepoints = self._saved, None, []
+        self._restore(saved)
+
+    def savepoint(self, name: str) -> None:
+        """A state to come back to; outside of a transaction it begins one."""
+        begins = self._saved is None
+        if begins:
+            self.begin()
+        self._savepoints.append((name.lower(), self._state(), begins))
+
+    def _savepoint(self, name: str) -> int:
+        found = [i for i, s in enumerate(self._savepoints) if s[0] == name.lower()]
+        if not found:
+            raise SqlError(f"no such savepoint: {name}")
+        return found[-1]
+
+    def release(self, name: str) -> None:
+        """Forget a savepoint and those after it; one that began the transaction commits it."""
+        at = self._savepoint(name)
+        begins = self._savepoints[at][2]
+        del self._savepoints[at:]
+        if begins:
+            self.commit()
+
+    def rollback_to(self, name: str) -> None:
+        """Back to a savepoint, which stays."""
+        at = self._savepoint(name)
+        del self._savepoints[at + 1 :]
+        self._restore(self._savepoints[at][1])
+
+    def _restore(self, state: tuple) -> None:
+        tables, views, defaults, constraints = (dict(x) for x in state)
         for name in [n for n in (*self._tables, *self._views) if n not in tables and n not in views]:
             self._drop(name)
-        self._views = views
+        self._views, self._defaults, self._constraints = views, defaults, constraints
         for name, table in tables.items():
             self._put(name, table)
         self._catalog()
@@ -603,6 +718,11 @@ class FileSession:
         self.close()
 
 
+def first_line(error: Exception) -> str:
+    """The first line of an error's text that says something."""
+    return next((line for line in str(error).splitlines() if line.strip()), type(error).__name__)
+
+
 def declared(kind: T.DataType) -> str:
     """The column type as the dialect names it."""
     if isinstance(kind, (T.IntegralType, T.BooleanType)):

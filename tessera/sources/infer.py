@@ -17,7 +17,6 @@ class Kind(Enum):
 
 # Shares at which a type is taken, and the length of date texts.
 SURE_SHARE = 0.8
-REAL_SHARE = 0.1
 DATETIME_LENGTH = (4, 35)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
-from ..errors import NotFoundError
+from ..errors import NotFoundError, TesseraError
 
 
 class Storage:
@@ -91,8 +91,13 @@ class Storage:
             source.close()
 
     def shared_folder(self) -> str:
-        """A new folder that executors see as well: below ``spark.checkpoint.dir``, or a local one where that is unset."""
-        root = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
+        """A new folder that executors see as well: below ``spark.checkpoint.dir``; where that is unset a temporary one, in local mode only."""
+        root = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
+        if not root:
+            master = self.spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise TesseraError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="tessera-")
         path = f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
         self.make_dir(path)
         return path
