@@ -18,12 +18,14 @@ from ..shipping import ship
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the setting is missing, which is the
-    case in local tests.
+    Where the setting is missing, a temporary folder serves in local mode; on a
+    cluster that is an error, since executors would not share it.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
@@ -35,8 +37,8 @@ class Scratch:
     """Intermediate Parquet tables in the shared folder, dropped on exit.
 
     Writing a table cuts lineage and survives the loss of executors.  What an
-    operator returns must not read them: pass small results through
-    :meth:`keep`, whose checkpoint files Spark cleans by itself.
+    operator returns must not read them: pass results through :meth:`keep`, whose
+    checkpoint files Spark deletes when the result is no longer referenced.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -71,6 +73,8 @@ class Scratch:
 
     @staticmethod
     def keep(df: DataFrame) -> DataFrame:
+        # Looked up when a checkpoint is made; by default such files stay for ever.
+        df.sparkSession.sparkContext._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         return df.checkpoint()
 
 

@@ -39,7 +39,7 @@ from .common import Scratch, ensure_columns, quoted
 WORD = "[^\\x20\\x09-\\x0D]+"
 MAX_EPOCHS = 3
 SEED = "mix"
-SOURCES = 100_000
+SOURCES = 10_000
 COPIES = 10_000
 
 
@@ -97,7 +97,7 @@ def _decided(docs: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = (1
     sources = fill_targets([(r[0], r["s"]) for r in per_source], list(weights), max_epochs)
     known = spark.createDataFrame([(s.name, s.size, s.target, s.rank) for s in sources], "name string, source_size long, target double, rank int")
     order = ["key", "row", "nth"]
-    dealt = slim.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name").repartitionByRange("rank", *order)
+    dealt = slim.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).drop("name").repartitionByRange("rank", *order)
     queue = scratch.table(dealt.withColumn("part", F.spark_partition_id()))
     # A row for each part and the sources in it, which are neighbours.
     sums = queue.groupBy("rank", "part").agg(F.sum("size").alias("s"))
@@ -155,7 +155,7 @@ def take(docs: DataFrame, **options) -> DataFrame:
         last = each.groupBy("source", "epoch").agg(F.max(F.struct("key", "row")).alias("last"))
         last = last.select(F.col("source").alias("_s"), "epoch", F.col("last.key").alias("_k"), F.col("last.row").alias("_r"))
         # How many of the rows that are like the last are in: all, but where repeated rows lie across the end.
-        met = decided.where("size > 0").join(last, F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("row") == F.col("_r")))
+        met = decided.where("size > 0").join(F.broadcast(last), F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("row") == F.col("_r")))
         ends = met.groupBy("_s", "_k", "_r", "epoch").agg(F.count("*").alias("n"), F.count(F.when(F.col("times") > F.col("epoch"), 1)).alias("m"))
         ends = scratch.keep(ends)
     limits = ends.groupBy(F.col("_s").alias("_mix_s")).agg(F.collect_list(F.struct("_k", "_r", (F.col("n") == F.col("m")).alias("all"))).alias("_mix_ends"))
@@ -167,13 +167,14 @@ def take(docs: DataFrame, **options) -> DataFrame:
         return (here < end) | ((here == end) & x["all"])
 
     times = F.size(F.filter("_mix_ends", inside))
-    whole = rows.join(limits, F.col(quoted(source_col)).cast("string").eqNullSafe(F.col("_mix_s"))).withColumn("_mix_times", times).where("_mix_times > 0")
+    # What is broadcast here and above has a row for each source, of which there are SOURCES at most, and epoch.
+    whole = rows.join(F.broadcast(limits), F.col(quoted(source_col)).cast("string").eqNullSafe(F.col("_mix_s"))).withColumn("_mix_times", times).where("_mix_times > 0")
     whole = whole.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*own)
     parted = ends.where("m < n").groupBy("_s", "_k", "_r").agg(F.sum("m").alias("_m"))
     if parted.isEmpty():
         return whole
     like = F.col(quoted(source_col)).cast("string").eqNullSafe(F.col("_s")) & (F.col("_mix_key") == F.col("_k")) & (F.col("_mix_row") == F.col("_r"))
-    some = rows.join(parted, like).groupBy("_s", "_k", "_r").agg(F.first("_m").alias("_m"), F.first(F.struct(*own)).alias("_one"))
+    some = rows.join(F.broadcast(parted), like).groupBy("_s", "_k", "_r").agg(F.first("_m").alias("_m"), F.first(F.struct(*own)).alias("_one"))
     chunk = some.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_m - 1) div {COPIES}")))).repartition("_k", "_c")
     copies = chunk.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("_m") - F.col("_c") * COPIES))))
     return whole.unionByName(copies.select("_one.*"))
