@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, slices, utf8
+from .common import ensure_columns, quoted, slices, utf8
 from .neardup import shingles, weighted
 
 WORDS, STYLES = 1 << 12, 10
@@ -202,25 +202,31 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     ensure_columns(docs, id_col, text_col, *meta_cols)
     ensure_columns(labels, id_col, label_col)
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.min(label_col).cast("int").alias("_label"))
-    below = lambda id_, n, most: F.pmod(F.xxhash64(id_), F.lit(1 << 30)) < F.lit(int(min(1.0, most / max(1, n)) * (1 << 30)))
-    wanted = [F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c) for c in meta_cols], "_label"]
-    # About labelled_rows ids and numbers: small enough to send everywhere, so texts need no shuffle.
-    taught = F.broadcast(known.where(below(F.col("_label_id"), known.count(), labelled_rows)))
-    labelled = docs.join(taught, F.col(id_col) == F.col("_label_id")).select(*wanted)
-    pool = docs.where(below(F.col(id_col), docs.count(), pool_rows)).join(known, F.col(id_col) == F.col("_label_id"), "left_anti").withColumn("_label", F.lit(-1)).select(*wanted)
-    sample = labelled.unionByName(pool)
+    # Somewhat more than are wanted come by their hash, and of these the first so many: rows that share an id, or have none, do not add up.
+    below = lambda row, n, most: F.pmod(row, F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * most / max(1, n)) * (1 << 30)))
+    row = F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col)))
+    first = lambda df, most: df.orderBy("_row", "_text").limit(most).drop("_row")
+    wanted = [F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(quoted(c)) for c in meta_cols], "_label", row.alias("_row")]
+    # At most labelled_rows ids and numbers: small enough to send everywhere, so texts need no shuffle.
+    taught = known.where(below(F.xxhash64("_label_id"), known.count(), labelled_rows)).orderBy(F.xxhash64("_label_id"), "_label_id").limit(labelled_rows)
+    labelled = first(docs.join(F.broadcast(taught), F.col(quoted(id_col)) == F.col("_label_id")).select(*wanted), labelled_rows)
+    pool = docs.where(below(row, docs.count(), pool_rows)).join(known, F.col(quoted(id_col)) == F.col("_label_id"), "left_anti").withColumn("_label", F.lit(-1))
+    sample = labelled.unionByName(first(pool.select(*wanted), pool_rows))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for i, j in slices(offsets, 1 << 20):
                 text, meta = _features(batch, i, j, data, offsets, len(meta_cols))
-                for k in range(j - i):
-                    t, m = text.row == k, meta.row == k
-                    packed = [text.feature[t].astype(np.int32).tobytes(), text.value[t].astype(np.float32).tobytes(), meta.feature[m].astype(np.int32).tobytes()]
-                    yield pa.RecordBatch.from_arrays([*(pa.array([p], pa.binary()) for p in packed), batch.column(1 + len(meta_cols)).slice(i + k, 1)], names=["tf", "tv", "mf", "label"])
-
-    # At most labelled_rows + pool_rows rows or so, features only.
+                each = []
+                for rows_, values, kind in ((text, text.feature, np.int32), (text, text.value, np.float32), (meta, meta.feature, np.int32)):
+                    order = np.argsort(rows_.row, kind="stable")
+                    bounds = np.searchsorted(rows_.row[order], np.arange(j - i + 1)).tolist()
+                    sorted_ = values[order].astype(kind)
+                    each.append(pa.array([sorted_[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*each, batch.column(1 + len(meta_cols)).slice(i, j - i)], names=["tf", "tv", "mf", "label"])
+
+    # At most labelled_rows + pool_rows rows, features only.
     rows = sample.mapInArrow(work, "tf binary, tv binary, mf binary, label int").collect()
     rows.sort(key=lambda r: (bytes(r["tf"]), bytes(r["tv"]), bytes(r["mf"]), r["label"]))
     features = lambda c, t: [np.frombuffer(bytes(r[c]), t) for r in rows]
