@@ -24,7 +24,9 @@ def timestamp(x: str) -> str:
     julian = f"CAST(timestamp_micros(CAST(round(({day} - 2440587.5D) * 86400000D) AS BIGINT) * 1000) AS TIMESTAMP_NTZ)"
     # A bare clock time is on 2000-01-01.
     clock = f"try_cast(concat('2000-01-01 ', {_text(x)}) AS TIMESTAMP_NTZ)"
-    return f"(CASE WHEN {day} IS NOT NULL THEN {julian} WHEN {_text(x)} RLIKE '^\\\\d{{1,2}}:\\\\d{{2}}' THEN {clock} ELSE try_cast({_text(x)} AS TIMESTAMP_NTZ) END)"
+    other = f"CASE WHEN {day} IS NOT NULL THEN {julian} WHEN {_text(x)} RLIKE '^\\\\d{{1,2}}:\\\\d{{2}}' THEN {clock} ELSE try_cast({_text(x)} AS TIMESTAMP_NTZ) END"
+    # Types are known when Spark plans, so of this only one branch is left; that of a time column is the column, which can be pushed down.
+    return f"(CASE WHEN typeof({x}) IN ('timestamp_ntz', 'timestamp', 'date') THEN to_timestamp_ntz({x}) ELSE {other} END)"
 
 
 def _literal(x: str) -> str | None:

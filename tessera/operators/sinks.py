@@ -1,4 +1,4 @@
-"""Sinks: one file per table, written by executors and renamed by the driver."""
+"""Sinks: one file per table, written by executors in parts; the driver joins and renames them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,9 @@ from ..sources.formats import Codec, FileType, Format
 from ..sources.storage import Storage
 from ..sources.xlsx import write_workbook
 
+#: Bytes of a file that travel at once.
+PIECE = 1 << 22
+
 
 @dataclass(frozen=True)
 class DumpOptions:
@@ -102,11 +106,11 @@ def write_file(table: DataFrame, path: str, options: DumpOptions, name: str = "t
             if table.isEmpty():
                 raise EmptyDataError("no data to write")
             rows = table if options.parquet_mode == "native" else _texts(table, options)
-            rows.coalesce(1).write.parquet(folder)
-        elif options.format is Format.XLSX or options.codec in (Codec.XZ, Codec.ZSTD):
-            _streamed(table, folder, options, name, storage)
+            _in_one_task(rows).write.parquet(folder)
+        elif options.format is Format.XLSX:
+            _workbook(table, folder, options, name, storage)
         else:
-            _written_by_spark(table, folder, options)
+            _written_in_parts(table, folder, options, storage)
         parts = [f for f in storage.walk(folder) if not f.rsplit("/", 1)[-1].startswith(("_", "."))]
         storage.move(parts[0], path)
     finally:
@@ -118,12 +122,59 @@ def _texts(table: DataFrame, options: DumpOptions) -> DataFrame:
     return table.select(*[cell(F.col(f"`{f.name}`"), f.dataType, options.go_floats).alias(f.name) for f in table.schema.fields])
 
 
-def _written_by_spark(table: DataFrame, folder: str, options: DumpOptions) -> None:
-    rows = _lines(table, options).coalesce(1)
-    writer = rows.write.option("lineSep", "\n")
-    if options.codec is Codec.GZIP:
-        writer = writer.option("compression", "gzip")
-    writer.text(folder)
+def _in_one_task(rows: DataFrame) -> DataFrame:
+    """All rows in one partition, in their order; what they are computed from keeps its tasks."""
+    placed = rows.withColumn("_tessera_at", F.monotonically_increasing_id())
+    return placed.repartition(1).sortWithinPartitions("_tessera_at").drop("_tessera_at")
+
+
+def _written_in_parts(table: DataFrame, folder: str, options: DumpOptions, storage: Storage) -> None:
+    """Text formats: each task formats and compresses its rows, and the parts' bytes are put one after another.
+
+    Compressed files may consist of several streams, so nothing is decompressed for that.
+    """
+    parts, target = f"{folder}/.parts", f"{folder}/part-0"
+    lines = _lines(table, options)
+    header = [] if options.format is Format.LTSV else [codec.compress(f"{_header(table, options)}\n".encode(), options.codec)]
+    if options.codec in (Codec.XZ, Codec.ZSTD):
+        _compressed(lines, options.codec).write.parquet(parts)
+        pieces = table.sparkSession.read.schema("at long, data binary").parquet(parts).orderBy("at")
+        storage.write(target, chain(header, (piece["data"] for piece in pieces.toLocalIterator())))
+    else:
+        writer = lines.write.option("lineSep", "\n")
+        if options.codec is Codec.GZIP:
+            writer = writer.option("compression", "gzip")
+        writer.text(parts)
+        written = [f for f in storage.walk(parts) if f.rsplit("/", 1)[-1].startswith("part-")]
+        storage.join(target, header, sorted(written, key=lambda f: int(f.rsplit("/", 1)[-1].split("-")[1])))
+    storage.delete(parts)
+
+
+def _compressed(lines: DataFrame, kind: Codec) -> DataFrame:
+    """at, data: a partition's lines as one stream of a codec that Spark does not write, in pieces."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = io.BytesIO()
+        stream = codec.writer(out, kind)
+        some = False
+
+        def taken() -> pa.RecordBatch:
+            data = out.getvalue()
+            out.seek(0)
+            out.truncate()
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
+
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                stream.write(f"{line}\n".encode())
+                some = True
+            if out.tell() > PIECE:
+                yield taken()
+        stream.close()
+        if some:
+            yield taken()
+
+    return lines.mapInArrow(encode, "data binary").select(F.monotonically_increasing_id().alias("at"), "data")
 
 
 def _field(value: Column, sep: str) -> Column:
@@ -132,60 +183,43 @@ def _field(value: Column, sep: str) -> Column:
     return F.when(special, F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
 
 
+def _separator(options: DumpOptions) -> str:
+    return "," if options.format is Format.CSV else "\t"
+
+
+def _header(table: DataFrame, options: DumpOptions) -> str:
+    sep = _separator(options)
+    return table.sparkSession.range(1).select(F.concat_ws(sep, *[_field(F.lit(c), sep) for c in table.columns])).first()[0]
+
+
 def _lines(table: DataFrame, options: DumpOptions) -> DataFrame:
-    """The file's lines, header first."""
+    """The file's lines below its header."""
     fields = table.schema.fields
     values = [cell(F.col(f"`{f.name}`"), f.dataType, options.go_floats) for f in fields]
     if options.format is Format.LTSV:
         if not fields:
             return table.select(F.lit("").alias("value"))
         return table.select(F.concat_ws("\t", *[F.concat(F.lit(f"{f.name}:"), v) for f, v in zip(fields, values, strict=True)]).alias("value"))
-    sep = "," if options.format is Format.CSV else "\t"
-    header = table.sparkSession.range(1).select(F.concat_ws(sep, *[_field(F.lit(f.name), sep) for f in fields]).alias("value"))
+    sep = _separator(options)
     body = table.select(F.concat_ws(sep, *[_field(v, sep) for v in values]).alias("value"))
     if len(fields) == 1:  # a lone blank field would be a blank line
         body = body.select(F.when(F.col("value") == "", F.lit('""')).otherwise(F.col("value")).alias("value"))
-    return header.coalesce(1).unionAll(body.coalesce(1))
-
+    return body
 
-def _streamed(table: DataFrame, folder: str, options: DumpOptions, name: str, storage: Storage) -> None:
-    """Formats that need Python: one task turns the rows into the file's bytes, which come back in pieces.
 
-    Text is compressed as it streams.  A workbook's parts are held by that task,
-    as the format asks for.
-    """
+def _workbook(table: DataFrame, folder: str, options: DumpOptions, name: str, storage: Storage) -> None:
+    """One task turns the rows into the workbook's bytes, whose parts it holds as the format asks for; they come back in pieces."""
     header = table.columns
-    workbook = options.format is Format.XLSX
-    rows = _texts(table, options).coalesce(1) if workbook else _lines(table, options).coalesce(1)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = io.BytesIO()
-
-        def taken() -> pa.RecordBatch:
-            data = out.getvalue()
-            out.seek(0)
-            out.truncate()
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
-
-        if workbook:
-            whole = io.BytesIO()
-            write_workbook(whole, name, _with_header(header, batches))
-            data = codec.compress(whole.getvalue(), options.codec)
-            for i in range(0, len(data), 1 << 22):
-                out.write(data[i : i + (1 << 22)])
-                yield taken()
-            return
-        stream = codec.writer(out, options.codec)
-        for batch in batches:
-            for line in batch.column(0).to_pylist():
-                stream.write(f"{line}\n".encode())
-            if out.tell() > 1 << 22:
-                yield taken()
-        stream.close()
-        yield taken()
+        whole = io.BytesIO()
+        write_workbook(whole, name, _with_header(header, batches))
+        data = codec.compress(whole.getvalue(), options.codec)
+        for i in range(0, len(data), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([data[i : i + PIECE]], pa.binary())], names=["data"])
 
     storage.make_dir(folder)
-    pieces = rows.mapInArrow(encode, "data binary")
+    pieces = _in_one_task(_texts(table, options)).mapInArrow(encode, "data binary")
     storage.write(f"{folder}/part-0", (piece["data"] for piece in pieces.toLocalIterator()))
 
 

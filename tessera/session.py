@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -741,8 +742,8 @@ def numbered(table: DataFrame) -> DataFrame:
     for p, n in counts:
         before.append((p, total))
         total += n
-    # Within a partition the numbers are dense already.
-    starts = F.create_map(*[F.lit(x) for pair in before for x in pair]) if before else None
-    within = F.col("_tessera_at").bitwiseAND((1 << 33) - 1)
-    rowid = (F.element_at(starts, partition) if starts is not None else F.lit(0)) + within + 1
-    return placed.withColumn("rowid", rowid.cast("bigint")).drop("_tessera_at")
+    # A row for each partition, as a local table whose size Spark knows; within a partition the numbers are dense already.
+    starts = table.sparkSession.createDataFrame(pa.table({f"_tessera_{k}": pa.array([b[i] for b in before], pa.int64()) for i, k in enumerate(("part", "start"))}))
+    placed = placed.withColumn("_tessera_part", partition).join(starts, "_tessera_part")
+    rowid = F.col("_tessera_start") + F.col("_tessera_at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn("rowid", rowid.cast("bigint")).drop("_tessera_at", "_tessera_part", "_tessera_start")

@@ -82,6 +82,23 @@ class Storage:
         finally:
             out.close()
 
+    def join(self, path: str, head: Iterable[bytes], parts: Iterable[str]) -> None:
+        """Bytes and then those of other files into a file; they are copied in the JVM."""
+        fs, where = self._at(path)
+        out = fs.create(where, True)
+        try:
+            for piece in head:
+                out.write(bytearray(piece))
+            for part in parts:
+                part_fs, at = self._at(part)
+                source = part_fs.open(at)
+                try:
+                    self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+
     def read(self, path: str) -> bytes:
         fs, where = self._at(path)
         source = fs.open(where)
