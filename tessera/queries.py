@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bz2
+import io
+import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -96,6 +99,91 @@ def _rowid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir, "nation").sql("SELECT a.rowid AS row_no, a.n_name AS n_name FROM nation a JOIN nation b ON a.rowid = b.rowid")
 
 
+def _written(own: SparkSession, sf_dir: str, **tables: str) -> tuple[Storage, str]:
+    """A shared folder with a file for each table, named after it, of the extension that is given."""
+    storage = Storage(own)
+    folder = storage.shared_folder()
+    for table, extension in tables.items():
+        rows = own.read.parquet(f"{sf_dir}/{table}.parquet")
+        plain = extension.removesuffix(".bz2")
+        options = DumpOptions().with_format(plain)
+        write_file(rows, f"{folder}/{table}.{plain}", options, table)
+        if plain != extension:
+            storage.write(f"{folder}/{table}.{extension}", bz2.compress(storage.read(f"{folder}/{table}.{plain}")))
+            storage.delete(f"{folder}/{table}.{plain}")
+    return storage, folder
+
+
+def _folder_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of a table each as bzip2-compressed CSV, TSV, LTSV and Parquet, joined across formats."""
+    own = child_session(spark)
+    _, folder = _written(own, sf_dir, region="csv.bz2", nation="tsv", supplier="ltsv", customer="parquet")
+    return Builder(own).add_path(folder).build().open().sql(FOLDER_JOINED)
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte stream, and a zip archive as a virtual folder, as sources."""
+    own = child_session(spark)
+    storage, folder = _written(own, sf_dir, region="csv", nation="tsv")
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        archive.writestr("inner/nation.tsv", storage.read(f"{folder}/nation.tsv"))
+        archive.writestr("inner/read.me", b"left out")
+    opened = Builder(own).add_reader(io.BytesIO(storage.read(f"{folder}/region.csv")), "places", "csv").add_fs(zipfile.Path(packed)).build().open()
+    return opened.sql("SELECT p.r_name, n.n_name FROM places p JOIN nation n ON n.n_regionkey = p.r_regionkey")
+
+
+def _header_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opened = Builder(child_session(spark)).add_reader(io.BytesIO(b"id,name\n"), "none", "csv").build().open()
+    return opened.sql("SELECT COUNT(*) AS n, COUNT(id) AS ids, COUNT(name) AS names FROM none")
+
+
+def _parquet_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opened = Builder(child_session(spark)).with_options(parquet_mode="text").add_path(f"{sf_dir}/part.parquet").build().open()
+    return opened.sql("SELECT p_partkey, p_size, p_brand FROM part WHERE p_size = '7'")
+
+
+def _arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir, "customer")
+    found = s.prepare("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = ? AND c_acctbal > ? AND c_name LIKE ?")
+    return found(3, 1000.0, "customer%").unionByName(s.sql("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = :n AND c_acctbal <= :low", {"n": 4, "low": 0}))
+
+
+def _dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed tables are dumped, and the dump is opened."""
+    s = session(spark, sf_dir, "nation region")
+    s.sql("DELETE FROM nation WHERE n_regionkey = 2")
+    folder = Storage(s.spark).shared_folder()
+    s.dump(folder, DumpOptions().with_format("tsv").with_compression("gzip"))
+    return Builder(s.spark).add_path(folder).build().open().sql("SELECT n.n_nationkey, n.n_name, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
+
+
+def _autosaved(on_commit: bool) -> Callable[[SparkSession, str], DataFrame]:
+    """A change is saved over the file it came from, on commit or on closing."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = child_session(spark)
+        _, folder = _written(own, sf_dir, region="csv")
+        builder = Builder(own).add_path(f"{folder}/region.csv")
+        opened = (builder.enable_auto_save_on_commit() if on_commit else builder.enable_auto_save()).build().open()
+        opened.begin()
+        opened.sql("UPDATE region SET r_name = r_name || '!' WHERE r_regionkey > 1")
+        opened.commit()
+        if not on_commit:
+            opened.close()
+        return Builder(own).add_path(f"{folder}/region.csv").build().open().sql("SELECT r_regionkey, r_name FROM region")
+
+    return run
+
+
+FOLDER_JOINED = """
+SELECT r.r_name, n.n_name, COUNT(DISTINCT s.s_suppkey) AS suppliers, COUNT(DISTINCT c.c_custkey) AS customers
+FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey
+LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey
+GROUP BY r.r_name, n.n_name
+"""
+SAVED = "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, CASE WHEN r_regionkey > 1 THEN r_name || '!' ELSE r_name END AS r_name FROM region"
+
 QUERIES: dict[str, Query] = {
     "flagship": Query(FLAGSHIP),
     # projection, filter, predicates
@@ -122,17 +210,24 @@ QUERIES: dict[str, Query] = {
         "SELECT c_custkey, length(c_name) AS len, upper(c_mktsegment) AS up, lower(c_name) AS low, substr(c_name, 1, 4) AS head, substr(c_name, -3) AS tail, instr(c_name, '#') AS at, replace(c_name, '0', '') AS no_zero, c_mktsegment || '-' || c_nationkey AS both, trim(c_name, 'C') AS trimmed FROM customer",
     ),
     "string_more": Query("SELECT p_partkey, LTRIM(p_brand, 'B') AS l, RTRIM(p_brand, '123') AS r, CHAR(65, 66) AS c, SUBSTR(p_name, 0, 3) AS z FROM part", "SELECT p_partkey, ltrim(p_brand, 'B') AS l, rtrim(p_brand, '123') AS r, chr(65) || chr(66) AS c, substr(p_name, 1, 2) AS z FROM part"),
+    "string_shown": Query("SELECT p_partkey, PRINTF('%d-%s', p_size, p_brand) AS f, HEX(p_brand) AS h, UNICODE(p_brand) AS u, QUOTE(p_brand) AS q, CONCAT_WS('/', p_brand, p_type) AS j FROM part", "SELECT p_partkey, printf('%d-%s', p_size, p_brand) AS f, hex(p_brand) AS h, unicode(p_brand) AS u, '''' || replace(p_brand, '''', '''''') || '''' AS q, concat_ws('/', p_brand, p_type) AS j FROM part"),
     "math_fns": Query("SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount), 4) AS net, ABS(l_quantity - 25) AS away, CAST(l_orderkey % 7 AS BIGINT) AS m FROM lineitem"),
     "math_more": Query("SELECT p_partkey, SQRT(p_size) AS s, ROUND(LOG(p_size), 9) AS l, POW(p_size, 2) AS p, MAX(p_size, 25) AS hi, MIN(p_size, 25) AS lo FROM part", "SELECT p_partkey, sqrt(p_size) AS s, round(log10(p_size), 9) AS l, pow(p_size, 2) AS p, greatest(p_size, 25) AS hi, least(p_size, 25) AS lo FROM part"),
+    "math_rest": Query("SELECT c_custkey, SIGN(c_acctbal) AS s, ROUND(EXP(c_nationkey / 10.0), 9) AS e, ROUND(LN(c_custkey), 9) AS l, CAST(FLOOR(c_acctbal) AS BIGINT) AS f, CAST(CEIL(c_acctbal) AS BIGINT) AS c FROM customer", "SELECT c_custkey, CAST(sign(c_acctbal) AS INTEGER) AS s, round(exp(c_nationkey / 10.0), 9) AS e, CASE WHEN c_custkey > 0 THEN round(ln(c_custkey), 9) END AS l, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c FROM customer"),
     "int_division": Query("SELECT o_orderkey, CAST(o_orderkey / 7 AS BIGINT) AS q, o_totalprice / 2 AS h FROM orders", "SELECT o_orderkey, CAST(o_orderkey // 7 AS BIGINT) AS q, o_totalprice / 2 AS h FROM orders"),
     "iif_total": Query("SELECT o_orderstatus, TOTAL(IIF(o_totalprice > 100000, 1, 0)) AS big FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS DOUBLE) AS big FROM orders GROUP BY o_orderstatus"),
     "date_month": Query("SELECT strftime('%Y-%m', o_orderdate) AS month, COUNT(*) AS n FROM orders GROUP BY month", "SELECT strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) AS n FROM orders GROUP BY 1"),
     "date_hour": Query("SELECT strftime('%H', ts) AS hour, COUNT(*) AS n, ROUND(AVG(value), 6) AS v FROM events GROUP BY strftime('%H', ts)", "SELECT strftime(ts, '%H') AS hour, COUNT(*) AS n, round(avg(value), 6) AS v FROM events GROUP BY 1"),
     "date_only": Query("SELECT DATE(ts) AS day, COUNT(DISTINCT user_id) AS users FROM events GROUP BY DATE(ts)", "SELECT strftime(ts, '%Y-%m-%d') AS day, COUNT(DISTINCT user_id) AS users FROM events GROUP BY 1"),
     "date_modifier": Query("SELECT o_orderkey, DATE(o_orderdate, 'start of month', '+1 month', '-1 day') AS last_day, CAST(strftime('%w', o_orderdate) AS INTEGER) AS dow FROM orders", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 DAY, '%Y-%m-%d') AS last_day, CAST(strftime(o_orderdate, '%w') AS BIGINT) AS dow FROM orders"),
+    "date_clock": Query("SELECT event_id, TIME(ts) AS t, DATETIME(ts) AS d, UNIXEPOCH(ts) AS u FROM events", "SELECT event_id, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS d, CAST(floor(epoch(ts)) AS BIGINT) AS u FROM events"),
+    "date_range": Query("SELECT COUNT(*) AS n FROM orders WHERE DATE(o_orderdate) >= '1995-03-01' AND DATETIME(o_orderdate) < '1996-01-01 00:00:00'", "SELECT COUNT(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1995-03-01' AND strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') < '1996-01-01 00:00:00'"),
+    "date_current": Query("SELECT COUNT(*) AS n FROM region WHERE CAST(CURRENT_DATE AS TEXT) > '2000-01-01' AND CAST(CURRENT_TIMESTAMP AS TEXT) > '2000-01-01' AND LENGTH(CURRENT_TIME) = 8 AND DATE('now') = DATE(CURRENT_TIMESTAMP)", "SELECT COUNT(*) AS n FROM region"),
     "julian_diff": Query("SELECT o_orderkey, ROUND(julianday(o_orderdate) - julianday('1995-01-01'), 4) AS days FROM orders", "SELECT o_orderkey, round(epoch(o_orderdate - TIMESTAMP '1995-01-01') / 86400, 4) AS days FROM orders"),
     "cast_roundtrip": Query("SELECT p_partkey, CAST(CAST(p_size AS TEXT) AS INTEGER) AS size, CAST(p_retailprice AS INTEGER) AS whole, CAST('12abc' AS INTEGER) AS lead, CAST(p_size AS REAL) AS real FROM part", "SELECT p_partkey, CAST(p_size AS BIGINT) AS size, CAST(trunc(p_retailprice) AS BIGINT) AS whole, CAST(12 AS BIGINT) AS lead, CAST(p_size AS DOUBLE) AS real FROM part"),
     "json_extract": Query("SELECT event_id, json_extract(props, '$.k') AS k, props ->> 'k' AS k2 FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS k2 FROM events"),
+    "json_build": Query("SELECT n_nationkey, json_object('k', n_nationkey, 'n', n_name) AS o, CAST(json_array_length(json_array(n_nationkey, n_regionkey)) AS BIGINT) AS n FROM nation", "SELECT n_nationkey, CAST(json_object('k', n_nationkey, 'n', n_name) AS VARCHAR) AS o, CAST(2 AS BIGINT) AS n FROM nation"),
+    "json_each": Query("SELECT e.event_id, j.key AS name, j.value AS shown FROM events e, json_each(e.props) AS j", "SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS shown FROM events"),
     # aggregation
     "agg_global": Query("SELECT COUNT(*) AS n, ROUND(SUM(l_extendedprice), 2) AS total, ROUND(AVG(l_quantity), 6) AS avg_q, MIN(l_shipdate) AS first, MAX(l_shipdate) AS last FROM lineitem"),
     "agg_multi_key": Query("SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS q, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, ROUND(AVG(l_discount), 6) AS d, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus"),
@@ -155,10 +250,12 @@ QUERIES: dict[str, Query] = {
     "join_full": Query("SELECT c.c_custkey, s.s_suppkey FROM customer c FULL OUTER JOIN supplier s ON c.c_custkey = s.s_suppkey + 5"),
     "join_right": Query("SELECT n.n_name, r.r_name FROM nation n RIGHT JOIN region r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey > 20"),
     "join_using": Query("SELECT n_nationkey, a.n_name AS x FROM nation a JOIN nation b USING (n_nationkey)"),
+    "join_natural": Query("SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) a NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region) b"),
     "join_rowid": Query(_rowid, "SELECT row_number() OVER () AS row_no, n_name FROM nation"),
     "semi_exists": Query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)"),
     "anti_not_exists": Query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"),
     "in_subquery": Query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)"),
+    "arguments": Query(_arguments, "SELECT c_custkey, c_name FROM customer WHERE (c_nationkey = 3 AND c_acctbal > 1000 AND c_name ILIKE 'customer%') OR (c_nationkey = 4 AND c_acctbal <= 0)"),
     "corr_scalar": Query("SELECT o.o_orderkey FROM orders o WHERE o.o_totalprice > (SELECT AVG(x.o_totalprice) * 1.5 FROM orders x WHERE x.o_custkey = o.o_custkey)"),
     # windows
     "win_rank": Query("SELECT o_orderkey, CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS r, CAST(DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS BIGINT) AS d FROM orders"),
@@ -166,6 +263,7 @@ QUERIES: dict[str, Query] = {
     "win_avg_count": Query("SELECT o_orderkey, ROUND(AVG(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS a, COUNT(*) OVER (PARTITION BY o_custkey) AS n FROM orders"),
     "win_lag_lead": Query("SELECT o_orderkey, LAG(o_orderkey) OVER w AS before, LEAD(o_totalprice, 2, 0.0) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"),
     "win_frame_rows": Query("SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM orders"),
+    "win_frame_range": Query("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 100 FOLLOWING) AS n FROM orders"),
     "win_filter": Query("SELECT o_orderkey, COUNT(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS f FROM orders"),
     "win_ntile": Query("SELECT o_orderkey, CAST(NTILE(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS BIGINT) AS q, ROUND(PERCENT_RANK() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey), 9) AS p, ROUND(CUME_DIST() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey), 9) AS c FROM orders"),
     "win_first_last": Query("SELECT o_orderkey, FIRST_VALUE(o_orderkey) OVER w AS f, LAST_VALUE(o_orderkey) OVER w AS l, NTH_VALUE(o_orderkey, 2) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
@@ -187,6 +285,10 @@ QUERIES: dict[str, Query] = {
     # changes
     "dml_update": Query(_changed("UPDATE customer SET c_acctbal = c_acctbal + 100, c_mktsegment = 'X' WHERE c_nationkey = 3 OR c_acctbal < 0", result="SELECT c_custkey, c_acctbal, c_mktsegment FROM customer"), "SELECT c_custkey, CASE WHEN c_nationkey = 3 OR c_acctbal < 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey = 3 OR c_acctbal < 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
     "dml_update_subquery": Query(_changed("UPDATE nation SET n_name = 'none' WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)", result="SELECT n_nationkey, n_name FROM nation"), "SELECT n_nationkey, CASE WHEN n_nationkey NOT IN (SELECT s_nationkey FROM supplier) THEN 'none' ELSE n_name END AS n_name FROM nation"),
+    "dml_update_from": Query(
+        _changed("UPDATE nation AS n SET (n_name, n_regionkey) = (r.r_name || '/' || n.n_name, 9) FROM region r JOIN (SELECT DISTINCT s_nationkey FROM supplier) s WHERE r.r_regionkey = n.n_regionkey AND s.s_nationkey = n.n_nationkey", result="SELECT n_nationkey, n_name, n_regionkey FROM nation"),
+        "SELECT n_nationkey, CASE WHEN s.k IS NULL THEN n_name ELSE r_name || '/' || n_name END AS n_name, CASE WHEN s.k IS NULL THEN n_regionkey ELSE 9 END AS n_regionkey FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) s ON s.k = n_nationkey",
+    ),
     "dml_insert_select": Query(_changed("CREATE TABLE totals (segment TEXT, n INTEGER, total REAL)", "INSERT INTO totals SELECT c_mktsegment, COUNT(*), ROUND(SUM(c_acctbal), 2) FROM customer GROUP BY c_mktsegment", "INSERT INTO totals (segment, n) VALUES ('none', 0), ('all', 1)", result="SELECT segment, n, total FROM totals"), "SELECT c_mktsegment AS segment, COUNT(*) AS n, ROUND(SUM(c_acctbal), 2) AS total FROM customer GROUP BY 1 UNION ALL SELECT 'none', 0, NULL UNION ALL SELECT 'all', 1, NULL"),
     "dml_insert_or_replace": Query(
         _changed("CREATE TABLE best (c INTEGER PRIMARY KEY, total REAL NOT NULL)", "INSERT INTO best SELECT o_custkey, MIN(o_totalprice) FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey", "INSERT OR REPLACE INTO best SELECT o_custkey, MAX(o_totalprice) FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey", "INSERT OR IGNORE INTO best SELECT o_custkey, 0.0 FROM orders", result="SELECT c, total FROM best"),
@@ -211,6 +313,13 @@ QUERIES: dict[str, Query] = {
     "csv_gz_roundtrip": Query(_round_trip("part", DumpOptions().with_compression("gzip")), "SELECT * FROM part"),
     "csv_zst_roundtrip": Query(_round_trip("part", DumpOptions().with_compression("zstd")), "SELECT * FROM part"),
     "csv_xz_roundtrip": Query(_round_trip("part", DumpOptions().with_compression("xz")), "SELECT * FROM part"),
+    "folder_joined": Query(_folder_joined, FOLDER_JOINED),
+    "stream_and_archive": Query(_streams, "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey"),
+    "header_only": Query(_header_only, "SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ids, CAST(0 AS BIGINT) AS names"),
+    "parquet_as_text": Query(_parquet_as_text, "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS VARCHAR) AS p_size, p_brand FROM part WHERE p_size = 7"),
+    "dump_tables": Query(_dumped, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey <> 2"),
+    "autosave_on_close": Query(_autosaved(False), SAVED),
+    "autosave_on_commit": Query(_autosaved(True), SAVED),
 }
 
 

@@ -421,17 +421,20 @@ class FileSession:
         shape = lambda df: df.select(*[F.col(quoted(f.name)).cast(wide.get(f.name, f.dataType)).alias(f.name) for f in table.schema.fields])
         return (shape(table) if wide else table), shape(new)
 
-    def _matching(self, name: str, condition: list[Token], args, extra: str = "") -> tuple[DataFrame, DataFrame]:
-        """The table with row numbers, and the numbers of rows for which a condition with a subquery holds."""
+    def _with_row(self, name: str) -> DataFrame:
+        """The table with ``_tessera_row``, written so that the numbers are the same in each use."""
         table = self._tables[name].withColumn("_tessera_row", F.monotonically_increasing_id())
-        storage = Storage(self.spark)
-        path = f"{storage.shared_folder()}/rows"
-        table.write.parquet(path)  # numbers must not change between the two uses
-        table = self.spark.read.schema(table.schema).parquet(path)
+        path = f"{Storage(self.spark).shared_folder()}/rows"
+        table.write.parquet(path)
+        return self.spark.read.schema(table.schema).parquet(path)
+
+    def _matching(self, name: str, condition: list[Token], args, alias: str = "") -> tuple[DataFrame, DataFrame]:
+        """The table with row numbers, and the numbers of rows for which a condition with a subquery holds."""
+        table = self._with_row(name)
         table.createOrReplaceTempView(quoted(name))
         try:
-            text = self._text([Token("name", name, quoted(name)), *tokenize("."), Token("word", "_tessera_row", "_tessera_row")])
-            hits = self._spark_error(f"SELECT DISTINCT {text} FROM {quoted(name)}{extra} WHERE {self._text(condition)}", args)
+            as_ = f" AS {quoted(alias)}" if alias else ""
+            hits = self._spark_error(f"SELECT DISTINCT {quoted(alias or name)}._tessera_row FROM {quoted(name)}{as_} WHERE {self._text(condition)}", args)
         finally:
             self._tables[name].createOrReplaceTempView(quoted(name))
         return table, hits
@@ -440,18 +443,21 @@ class FileSession:
         statement = changes.parse_update(tokens)
         name = self._known(statement.table)
         table = self._tables[name]
-        if statement.source:
-            raise SqlError("UPDATE ... FROM is not supported; use a subquery")
         fields = {f.name.lower(): f.name for f in table.schema.fields}
         for c, _ in statement.assignments:
             if c.lower() not in fields:
                 raise SqlError(f"no such column: {c}")
         set_ = {fields[c.lower()]: self._text(list(v)) for c, v in statement.assignments}
+        if statement.source:
+            new = self._updated_from(name, statement, set_, args)
+            self._kept_constraints(name, new, {c.lower() for c in set_})
+            self._put(name, new, changed=True)
+            return
         condition = list(statement.condition)
         subquery = any(t.word == "SELECT" for t in condition)
         alias = f" AS {quoted(statement.alias)}" if statement.alias else ""
         if subquery:
-            numbered_, hits = self._matching(name, condition, args, alias)
+            numbered_, hits = self._matching(name, condition, args, statement.alias)
             source = numbered_.join(hits.withColumn("_tessera_hit", F.lit(True)), "_tessera_row", "left")
             source.createOrReplaceTempView(quoted(name))
             test = "coalesce(_tessera_hit, false)"
@@ -470,6 +476,22 @@ class FileSession:
         self._kept_constraints(name, new, {c.lower() for c, _ in statement.assignments})
         self._put(name, new, changed=True)
 
+    def _updated_from(self, name: str, statement: changes.Update, set_: dict[str, str], args) -> DataFrame:
+        """Values from rows of other tables; where several fit a row, the least ones are taken."""
+        table = self._with_row(name)
+        me = quoted(statement.alias or name)
+        as_ = f" AS {me}" if statement.alias else ""
+        where = f" WHERE {self._text(list(statement.condition))}" if statement.condition else ""
+        values = ", ".join(f"{v} AS {quoted(c)}" for c, v in set_.items())
+        table.createOrReplaceTempView(quoted(name))
+        try:
+            found = self._spark_error(f"SELECT {values}, {me}._tessera_row FROM {quoted(name)}{as_} CROSS JOIN {self._text(list(statement.source))}{where}", args)
+        finally:
+            self._tables[name].createOrReplaceTempView(quoted(name))
+        new = found.groupBy("_tessera_row").agg(F.min(F.struct(*[quoted(c) for c in set_])).alias("_tessera_new"))
+        value = lambda c: F.when(F.col("_tessera_new").isNotNull(), F.col(f"_tessera_new.{quoted(c)}")).otherwise(F.col(quoted(c))).alias(c)
+        return table.join(new, "_tessera_row", "left").select(*[value(c) if c in set_ else F.col(quoted(c)) for c in self._tables[name].columns])
+
     def _update_with_args(self, name: str, alias: str, table: DataFrame, statement: changes.Update, test: str | None, args: list) -> DataFrame:
         """Positional arguments are used once each: the condition's is computed in a query of its own below."""
         count = lambda tokens: sum(t.raw == "?" for t in tokens)

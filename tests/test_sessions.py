@@ -36,6 +36,31 @@ def rows(db, text, args=None):
     return [tuple(r) for r in db.sql(text, args).collect()]
 
 
+def test_update_from_against_sqlite(spark, files):
+    told = {"stock": [(1, "a", 5), (2, "b", 6), (3, "c", None)], "moves": [(1, 10), (1, 12), (3, 7)]}
+    lite = sqlite3.connect(":memory:")
+    lite.execute("CREATE TABLE stock (id INTEGER, name TEXT, n INTEGER)")
+    lite.execute("CREATE TABLE moves (id INTEGER, n INTEGER)")
+    lite.executemany("INSERT INTO stock VALUES (?, ?, ?)", told["stock"])
+    lite.executemany("INSERT INTO moves VALUES (?, ?)", told["moves"])
+    text = lambda rows, head: head + "\n" + "".join(",".join("" if v is None else str(v) for v in r) + "\n" for r in rows)
+    paths = files(stock__csv=text(told["stock"], "id,name,n"), moves__csv=text(told["moves"], "id,n"))
+    with tessera.open(*paths, spark=spark) as db:
+        for change, args in [
+            ("UPDATE stock SET n = s.total, name = name || ? FROM (SELECT id, SUM(n) AS total FROM moves GROUP BY id) AS s WHERE s.id = stock.id AND s.total > ?", ["!", 7]),
+            ("UPDATE stock AS t SET (n, name) = (o.n + 1, o.name) FROM stock AS o WHERE o.id = t.id + 1 AND o.n IS NOT NULL", None),
+            ("UPDATE stock SET (n, name) = (n * 2, 'z') WHERE id IN (SELECT id FROM moves)", None),
+        ]:
+            lite.execute(change, args or [])
+            db.sql(change, args)
+            assert sorted(rows(db, "SELECT * FROM stock")) == sorted(lite.execute("SELECT * FROM stock").fetchall())
+        for bad in ("UPDATE stock SET (n, name) = (1)", "UPDATE stock SET (n, name) = (SELECT 1, 2)"):
+            with pytest.raises(tessera.SqlError):
+                db.sql(bad)
+        kinds = rows(db, "SELECT typeof(CURRENT_DATE), LENGTH(CURRENT_DATE), LENGTH(CURRENT_TIME), LENGTH(CURRENT_TIMESTAMP)")
+        assert kinds == lite.execute("SELECT typeof(CURRENT_DATE), LENGTH(CURRENT_DATE), LENGTH(CURRENT_TIME), LENGTH(CURRENT_TIMESTAMP)").fetchall()
+
+
 def test_report_of_ranked_employees(db):
     found = rows(
         db,
