@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ensure_columns
+from .common import Scratch, ensure_columns, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SEGMENT = 48
@@ -349,11 +349,11 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         return p * (SCALE ** vocab.lengths.astype(float))[:, None]
 
     with Scratch(docs.sparkSession, "langid") as scratch:
-        words = scratch.table(sampled.select("text", "lang").mapInArrow(count, "lang int, word binary, times long").groupBy("lang", "word").agg(F.sum("times").alias("times")))
+        words = scratch.table(sampled.select("text", "lang").mapInArrow(tidy(count), "lang int, word binary, times long").groupBy("lang", "word").agg(F.sum("times").alias("times")))
         chances = base
         for _ in range(rounds):
             # At most a row for each piece and language.
-            rows_ = words.mapInArrow(expect(scaled(chances)), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+            rows_ = words.mapInArrow(tidy(expect(scaled(chances))), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
             seen = np.zeros(base.shape)
             seen[rows_["piece"], rows_["lang"]] = rows_["n"]
             anywhere = seen.sum(axis=1, keepdims=True) / max(1.0, seen.sum())
@@ -386,4 +386,4 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(chances)], names=[*part.schema.names[1:], "lang_pred", "score"])
 
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.select(*own).dtypes] + ["lang_pred string", "score double"])
-    return docs.select(F.col(text_col).cast("string").alias("_lang_text"), *[F.col(f"`{c}`") for c in own]).mapInArrow(work, schema)
+    return docs.select(F.col(text_col).cast("string").alias("_lang_text"), *[F.col(f"`{c}`") for c in own]).mapInArrow(tidy(work), schema)

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ensure_columns, slices, text_key, utf8
+from .common import Scratch, ensure_columns, slices, text_key, tidy, utf8
 from .repeats import Hashes, _mixed
 
 WORDS = 5
@@ -351,7 +351,7 @@ def link(signed: DataFrame, texts: DataFrame, scratch: Scratch, *, words: int, s
     work, schema = _sets(words)
     # The candidates' number follows the corpus, so their join is a shuffle at every size.
     candidates = members.select("node").distinct().hint("merge")
-    sets = scratch.table(texts.join(candidates, "node").select("node", "text").mapInArrow(work, schema))
+    sets = scratch.table(texts.join(candidates, "node").select("node", "text").mapInArrow(tidy(work), schema))
     scratch.release()
     tested: DataFrame | None = None
     links: DataFrame | None = None
@@ -451,7 +451,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         texts = rows_.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first("text").alias("text"))
         texts = scratch.table(texts.select("t1", "t2", _node(F.col("id"), F.col("t1")).alias("node"), F.lower("text").alias("text")))
         work, schema = _signed(words, n_bands, rows)
-        signed = scratch.table(texts.select("node", "text").mapInArrow(work, schema))
+        signed = scratch.table(texts.select("node", "text").mapInArrow(tidy(work), schema))
         scratch.release()
         labels = link(signed, texts, scratch, words=words, similarity=similarity, small=small, depth=depth)
         named = texts.select("t1", "t2", "node")

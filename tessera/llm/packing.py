@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ensure_columns, slices, utf8
+from .common import Scratch, ensure_columns, slices, tidy, utf8
 
 CAPACITY = 1024
 EOS = 2
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
                 columns = [ids.slice(i, j - i).take(pa.array(row, pa.int32())), piece, start, length, crc] + [kept] * with_ids
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(work, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(work), schema)
 
 
 def best_filling(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
@@ -284,7 +284,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, rates: tuple[float, ...]
                 found = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
                 yield pa.RecordBatch.from_arrays([*found.values(), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-        return scratch.keep(ranked.mapInArrow(place, schema))
+        return scratch.keep(ranked.mapInArrow(tidy(place), schema))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

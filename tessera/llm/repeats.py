@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, ensure_columns, slices, text_key, utf8
+from .common import Scratch, batch_of, ensure_columns, slices, text_key, tidy, utf8
 from .suffixes import suffix_array
 
 SPAN = 400
@@ -372,12 +372,12 @@ def _crowded(runs_: DataFrame, scratch: Scratch, *, span: int, gram: int, crowd:
     rows = runs_.select(*key, F.lit(0).alias("shift"), "mark", "bytes", "first", F.lit(0).alias("low"), F.lit(span - gram).alias("high"))
     plain = rows.columns
     while True:
-        rows = scratch.table(rows.mapInArrow(work, schema))
+        rows = scratch.table(rows.mapInArrow(tidy(work), schema))
         kinds = scratch.table(rows.groupBy(*kind).agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in plain]))
         several = rows.join(kinds.where("times > 1").select(*kind), kind).select(*key, whole.alias("ranges"))
         width = kinds.groupBy("group").count().where("count > 1")
         few = kinds.join(width.where(F.col("count") <= crowd).select("group"), "group").select("group", *key, "shift", "mark", "bytes")
-        alike = few.repartition("group").sortWithinPartitions("group").mapInArrow(sort, sorted_schema).where(F.size("ranges") > 0).select(*key, moved.alias("ranges"))
+        alike = few.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(sort), sorted_schema).where(F.size("ranges") > 0).select(*key, moved.alias("ranges"))
         here = several.unionByName(alike)
         found = scratch.table(here if found is None else found.unionByName(here))
         crowds = scratch.table(width.where(F.col("count") > crowd).select("group"))
@@ -398,7 +398,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram
         raise ValueError("gram must be shorter than span")
     key = ["h", "d1", "d2"]
     long_ = texts.where(F.octet_length("text") >= span)
-    occurrences = scratch.table(long_.select("t1", "t2", "text").mapInArrow(_cut_runs(span, gram), RUN))
+    occurrences = scratch.table(long_.select("t1", "t2", "text").mapInArrow(tidy(_cut_runs(span, gram)), RUN))
     shared = occurrences.groupBy("h").agg(F.sum(F.size("starts")).alias("count")).where("count > 1").select("h")
     alike = scratch.table(occurrences.join(shared, "h"))
     scratch.drop(occurrences)
@@ -413,11 +413,11 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, span: int = SPAN, gram
     mixed = kinds.join(width, "h")
     wanted = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "d1", "d2", "start", "windows", "mark")).alias("wanted"))
     work, schema = _run_bytes(span, step)
-    content = scratch.table(long_.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(work, schema))
+    content = scratch.table(long_.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(tidy(work), schema))
     crowds = width.where(F.col("count") > crowd).select("h")
     work, schema = _sort_blocks(span, "h long, d1 long, d2 long")
     grouped = content.join(crowds, "h", "left_anti").select(F.col("h").alias("group"), *key, "mark", "bytes")
-    sorted_ = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(work, schema)
+    sorted_ = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(work), schema)
     found = several.unionByName(sorted_.where(F.size("ranges") > 0))
     if not crowds.isEmpty():
         found = found.unionByName(_crowded(content.join(crowds, "h", "left_semi"), scratch, span=span, gram=gram, crowd=crowd, step=step))
@@ -485,9 +485,9 @@ def word_spans(texts: DataFrame, scratch: Scratch, *, words: int, crowd: int = C
     Codes are made anew where they are needed, since they take the room of the texts.
     """
     span = words * WORD
-    coded = texts.select("t1", "t2", "copies", "text").mapInArrow(_word_codes, "t1 long, t2 long, copies long, text binary")
+    coded = texts.select("t1", "t2", "copies", "text").mapInArrow(tidy(_word_codes), "t1 long, t2 long, copies long, text binary")
     spans = repeated_spans(coded, scratch, span=span, gram=min(GRAM, (span + 2) // 3), crowd=crowd, step=WORD)
-    return texts.join(spans, ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(_word_bytes, "t1 long, t2 long, spans array<struct<start:bigint,stop:bigint>>")
+    return texts.join(spans, ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(tidy(_word_bytes), "t1 long, t2 long, spans array<struct<start:bigint,stop:bigint>>")
 
 
 # ---- removal --------------------------------------------------------------------------------------
@@ -532,7 +532,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     with Scratch(docs.sparkSession, "repeats") as scratch:
         texts = scratch.table(distinct_texts(docs, text_col))
         spans = repeated_spans(texts, scratch, **options)
-        judged = texts.join(spans, ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(work, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
+        judged = texts.join(spans, ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(tidy(work), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
         judged = scratch.keep(judged)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     t1, t2 = text_key(F.col("_text"))
@@ -571,7 +571,7 @@ def remove(docs: DataFrame, *, text_col: str = "text", count_col: str | None = "
     joined = named.join(spans, (F.col("_rep_k1") == F.col("_rep_1")) & (F.col("_rep_k2") == F.col("_rep_2")), "left")
     plain = [f"`{c}`" for c in docs.columns]
     schema = ", ".join(["_rep_new string"] + [f"`{c}` {t}" for c, t in docs.dtypes])
-    cut = joined.select(F.col(text_col).alias("_rep_text"), "_rep_spans", *plain).mapInArrow(work, schema)
+    cut = joined.select(F.col(text_col).alias("_rep_text"), "_rep_spans", *plain).mapInArrow(tidy(work), schema)
     cut = cut.where(F.col("_rep_new").isNull() | F.col("_rep_new").rlike("\\S"))
     out = []
     for c, t in docs.dtypes:
