@@ -264,6 +264,8 @@ QUERIES: dict[str, Query] = {
     "win_lag_lead": Query("SELECT o_orderkey, LAG(o_orderkey) OVER w AS before, LEAD(o_totalprice, 2, 0.0) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"),
     "win_frame_rows": Query("SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM orders"),
     "win_frame_range": Query("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 100 FOLLOWING) AS n FROM orders"),
+    "win_frame_groups": Query("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n, MAX(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC GROUPS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS m FROM orders"),
+    "win_frame_exclude": Query("SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS s, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS n, MIN(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS m FROM orders"),
     "win_filter": Query("SELECT o_orderkey, COUNT(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS f FROM orders"),
     "win_ntile": Query("SELECT o_orderkey, CAST(NTILE(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS BIGINT) AS q, ROUND(PERCENT_RANK() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey), 9) AS p, ROUND(CUME_DIST() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey), 9) AS c FROM orders"),
     "win_first_last": Query("SELECT o_orderkey, FIRST_VALUE(o_orderkey) OVER w AS f, LAST_VALUE(o_orderkey) OVER w AS l, NTH_VALUE(o_orderkey, 2) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
